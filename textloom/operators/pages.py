@@ -36,6 +36,21 @@ def current(page: DataFrame, **columns: Column) -> DataFrame:
     return latest_rows(rows, ["id"], [F.desc_nulls_last("_rev"), F.asc_nulls_last("_at")]).drop("_rev", "_at")
 
 
+def bucketed(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Adds ``_bucket``, a hash of the key in 0..n-1, and partitions by it."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition("_bucket")
+
+
+def article_buckets(page: DataFrame, n: int) -> DataFrame:
+    """(_bucket, id, text) of the articles, moved once: the shuffle by bucket also brings the states of a page together."""
+    flag = article_flag()
+    rows = page.filter(F.col("id").isNotNull()).select(
+        "id", F.col("revision.id").alias("_rev"), F.col("loaded_at").alias("_at"), flag.alias("_ok"), F.when(flag, F.col("text")).alias("text")
+    )
+    newest = [F.desc_nulls_last("_rev"), F.asc_nulls_last("_at")]
+    return latest_rows(bucketed(rows, "id", n), ["_bucket", "id"], newest).filter("_ok").select("_bucket", "id", "text")
+
+
 def articles(page: DataFrame, **columns: Column) -> DataFrame:
     """Articles: ``id`` and the columns asked for (``text`` by default).
 
