@@ -21,7 +21,42 @@ COUNTS = rf"""{ARTICLES}, word AS (
   SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 5 > 2 * (SELECT count(*) FROM article) THEN 'common' END AS mark FROM counts
 )"""
 
+#: The title key of an expression.
+KEY = r"translate(lower(regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), ' .:,;-', '')"
+
 SQL = {
+    "p3_found": f"""WITH {COUNTS}, scored AS (
+  SELECT id, term, tf * ln((SELECT count(*) FROM article)::DOUBLE / records) AS score FROM tf JOIN counts USING (term) WHERE records >= 2
+), best AS (SELECT id, max(score) AS top FROM scored GROUP BY id)
+SELECT id, term FROM scored JOIN best USING (id) WHERE score >= top - 1e-12 * abs(top)""",
+    "p3_log_odds": f"""WITH {COUNTS}, total AS (SELECT sum(tf)::DOUBLE AS c FROM tf), len AS (SELECT id, sum(tf)::DOUBLE AS n FROM tf GROUP BY id
+), part AS (
+  SELECT id, term, tf, occurrences, records, n, c, tf + 1000 * occurrences / c AS a, occurrences - tf + 1000 * occurrences / c AS b
+  FROM tf JOIN counts USING (term) JOIN len USING (id), total WHERE records >= 2
+), scored AS (
+  SELECT *, (ln(a / (n + 1000 - a)) - ln(b / (c - n + 1000 - b))) / sqrt(1 / a + 1 / b) AS z FROM part
+), best AS (SELECT id, max(z) AS top FROM scored GROUP BY id)
+SELECT id, term, tf, occurrences, records, round(z, 6) AS z FROM scored JOIN best USING (id) WHERE z >= top - 1e-12 * abs(top)""",
+    "p4_found": rf"""WITH {ARTICLES}, words AS (
+  SELECT id, regexp_extract_all(lower(title || ' ' || text), '[\p{{L}}\p{{N}}]+') AS w FROM article
+), shingle AS (
+  SELECT DISTINCT id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM words WHERE len(w) >= 3
+), size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id
+), common AS (
+  SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.id < b.id GROUP BY ALL
+)
+SELECT id_a, id_b FROM common JOIN size a ON a.id = id_a JOIN size b ON b.id = id_b WHERE common.n * 10 >= 6 * (a.n + b.n - common.n)""",
+    "p5_found": rf"""WITH RECURSIVE {ARTICLES}, node AS (
+  SELECT id, {KEY.format('title')} AS k, {KEY.format('redirect._title')} AS r FROM current_rows WHERE length(title) > 0
+), keys AS (SELECT k, min(id) AS v FROM node GROUP BY k
+), edge AS (
+  SELECT DISTINCT a.v AS x, b.v AS y FROM node JOIN keys a ON a.k = node.k JOIN keys b ON b.k = node.r WHERE a.v <> b.v
+), both_ways AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge
+), reach(x, y) AS (
+  SELECT v, v FROM keys UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y
+), grp AS (SELECT x, min(y) AS group_id FROM reach GROUP BY x
+), member AS (SELECT node.id, group_id FROM node JOIN keys USING (k) JOIN grp ON grp.x = keys.v)
+SELECT id, group_id FROM member WHERE group_id IN (SELECT group_id FROM member GROUP BY 1 HAVING count(*) > 1)""",
     "p6_found": f"WITH {ARTICLES} SELECT id FROM article WHERE length(text) > 4000",
     "p7_terms": f"WITH {COUNTS} SELECT term, occurrences, records, mark FROM marked",
     "p7_found": f"WITH {COUNTS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import frequency, leakage, pieces
+from textloom.llm import distinctive, frequency, leakage, nearduplicates, pieces, titles
 from textloom.llm.oracles import SQL  # noqa: F401
 from textloom.operators import pages
+from textloom.operators.staging import written
 from textloom.tables import table
 
 
@@ -14,6 +15,45 @@ def article_texts(spark, folder):
     return pages.articles(table(spark, folder, "page"))
 
 
+def buckets(spark):
+    """Eight to a shuffle partition: small enough to score one in memory, large enough that words repeat in it."""
+    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def p3_terms(spark, folder, by="z"):
+    return distinctive.distinctive(pages.article_buckets(table(spark, folder, "page"), buckets(spark)), by=by)
+
+
+def p3_log_odds(spark, folder):
+    return p3_terms(spark, folder).select("id", "term", "tf", "occurrences", "records", F.round("z", 6).alias("z"))
+
+
+def p3_found(spark, folder):
+    return p3_terms(spark, folder, "tf_idf").select("id", "term")
+
+
+def titled_texts(spark, folder):
+    return pages.articles(table(spark, folder, "page"), text=F.concat_ws(" ", "title", "text"))
+
+
+def p4_pairs(spark, folder):
+    return nearduplicates.alike(titled_texts(spark, folder), width=3, least=0.6)
+
+
+def p4_found(spark, folder):
+    members = nearduplicates.classes(titled_texts(spark, folder))
+    return nearduplicates.expand(p4_pairs(spark, folder), members)
+
+
+def p4_groups(spark, folder):
+    texts = titled_texts(spark, folder)
+    return nearduplicates.groups(texts, written(nearduplicates.alike(texts)))
+
+
+def p5_found(spark, folder):
+    return titles.title_groups(table(spark, folder, "page"))
+
+
 def p6_pieces(spark, folder):
     return pieces.split(article_texts(spark, folder))
 
@@ -40,4 +80,4 @@ def p8_found(spark, folder):
     return p8_spans(spark, folder).select("item_id", "doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found)}
