@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import distinctive, frequency, leakage, nearduplicates, pieces, titles
+from textloom.llm import distinctive, frequency, leakage, nearduplicates, pieces, titles, truncation
 from textloom.llm.oracles import SQL  # noqa: F401
 from textloom.operators import pages
 from textloom.operators.staging import written
@@ -80,4 +80,16 @@ def p8_found(spark, folder):
     return p8_spans(spark, folder).select("item_id", "doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found)}
+def p10_truncated(spark, folder):
+    return truncation.truncated(table(spark, folder, "documents"))
+
+
+def p10_found(spark, folder):
+    return p10_truncated(spark, folder).select("doc_id").distinct()
+
+
+def p10_rates(spark, folder):
+    return truncation.rates(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found, p10_truncated, p10_found, p10_rates)}
