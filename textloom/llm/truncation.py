@@ -12,25 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.staging import written
+
 #: Words, sentence ends, line ends.
 TOKEN = r"[\p{L}\p{N}]+|[.?!]+(?:\s|\z)|\n"
+SPACE = " \t\n\r\f\v\u00a0"
 #: What stands for a missing rest at the very end.
-STAND_IN = "(…|\\.\\.\\.|\\[…\\]|\\[\\.\\.\\.\\]|\\x{FFFD})\\z"
-#: Ends inside a tag, an entity, a link or template, a reference, a bracket, a quotation, or a heading.
+STAND_INS = ("…", "...", "[…]", "[...]", "\ufffd")
+#: Openers whose closer must follow later in the text: opener, what shows that it is closed.
+PAIRED = (("[[", "]]"), ("{{", "}}"), ("<ref", "</ref"), ("<!--", "-->"))
+#: Ends of a last line inside a tag, an entity, a link, a bracket, a quotation, or a heading.
 OPEN = (
     r"<[\p{L}/!][^<>]*\z",
     r"&#?[\p{L}\p{N}]*\z",
-    r"\[\[[^\[\]]*\]?\z",
-    r"\{\{[^{}]*\}?\z",
-    r"<ref[^<>]*>[^<]*\z",
-    r"\[[^\[\]\n]*\z",
-    r"\([^()\n]*\z",
-    r"»[^»«\n]*\z",
-    r"„[^„“”\n]*\z",
-    r"(\A|\n)=+[^=\n]+=?\z",
+    r"\[[^\[\]]*\z",
+    r"\([^()]*\z",
+    r"»[^»«]*\z",
+    r"„[^„“”]*\z",
+    r"^=+[^=]+=?\z",
 )
 #: A last line that is a list entry.
-ENTRY = r"(\A|\n)[ \t]*([*#+-]|[0-9]+\.)[ \t][^\n]*\z"
+ENTRY = r"^[ \t]*([*#+-]|[0-9]+\.)[ \t]"
 #: Ends with a word or number, or with a sign that something has to follow.
 LOOSE = r"[\p{L}\p{N}]\z"
 DANGLING = r"[,;:–-]\z"
@@ -38,77 +40,80 @@ DANGLING = r"[,;:–-]\z"
 
 def token_class(x: str) -> str:
     first = f"substring({x}, 1, 1)"
-    return f"""CASE WHEN {first} IN ('.', '?', '!', '\\n') THEN '.' WHEN {first} BETWEEN '0' AND '9' THEN '0'
-        WHEN {first} <> lower({first}) AND length({x}) > 5 THEN 'N' WHEN length({x}) <= 6 THEN {x} ELSE concat('~', right({x}, 3)) END"""
+    return f"""CASE WHEN {x} IS NULL OR {first} IN ('.', '?', '!', '\\n') THEN '.' WHEN {first} BETWEEN '0' AND '9' THEN '0'
+        WHEN length({x}) > 5 AND {first} <> lower({first}) THEN 'N' WHEN length({x}) <= 6 THEN {x} ELSE concat('~', right({x}, 3)) END"""
+
+
+def trigram(a: str, b: str, c: str) -> list[str]:
+    """Classes of three tokens in a row; what lies before a sentence end is not looked at."""
+    return [f"CASE WHEN {token_class(b)} = '.' THEN '.' ELSE {token_class(a)} END AS a", f"{token_class(b)} AS b", f"{token_class(c)} AS c"]
+
+
+def counts(texts: DataFrame) -> DataFrame:
+    """(a, b, c, word, n, ends, inside): of every trigram of classes (word null) and every word (a, b, c null) its occurrences, those at ends, and those not last in a text.
+
+    ``texts``: (t string). One pass: each text's tokens are zipped with
+    themselves, shifted, and both groupings are combined by hash in the task.
+    """
+    tokens = texts.select(F.concat(F.array(F.lit("."), F.lit(".")), F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), F.array(F.lit(""))).alias("k"))
+    shifted = tokens.selectExpr("k AS p", *(f"slice(k, {i}, size(k)) AS {x}" for i, x in ((2, "q"), (3, "r"), (4, "s"))))
+    rows = shifted.select(F.explode(F.arrays_zip("p", "q", "r", "s")).alias("z")).select("z.*")
+    rows = rows.filter("s IS NOT NULL AND substring(r, 1, 1) NOT IN ('.', '?', '!', '\\n')")
+    each = rows.selectExpr(*trigram("p", "q", "r"), "r AS word", "s = '' OR substring(s, 1, 1) IN ('.', '?', '!', '\\n') AS e", "s <> '' AS i")
+    keys = [F.col(x) for x in ("a", "b", "c", "word")]
+    one = lambda c: F.sum(F.col(c).cast("bigint"))
+    return each.groupingSets([keys[:3], keys[3:]], *keys).agg(F.count(F.lit(1)).alias("n"), one("e").alias("ends"), one("i").alias("inside"))
 
 
 def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.9, least: int = 3) -> DataFrame:
-    """(doc_id, source, reason): every document of a text that breaks off has a reason, all others null.
+    """(doc_id, source, reason): every document with a text; one whose text breaks off has a reason, all others null.
 
     ``stand-in``: the end says that something is missing; ``open``: markup, a
-    bracket or a quotation is left open; ``word``: the last word is never seen
-    inside a text, but longer words that begin with it are; ``sentence``: it
-    ends with a comma or the like, with a blank after a word, or with a trigram that is at an end in less
-    than ``rare`` of its occurrences. Trigrams seen fewer than ``least`` times
-    give way to their last two words, then to the last. Where 2 % of a
-    source's texts, and five at least, have the same length in characters or
-    bytes, that length is a limit, and ``rare_at_limit`` holds. List entries
-    need no sentence end. Null and empty texts are never cut. Other columns
-    are not read; equal texts are judged alike.
+    bracket or a quotation is left open; ``word``: the last word is seen inside
+    texts less than twice, but longer words that begin with it are; ``sentence``:
+    it ends with a comma or the like, with a blank after a word, or with a
+    trigram that is at an end in less than ``rare`` of its occurrences.
+    Trigrams seen fewer than ``least`` times give way to their last two words,
+    then to the last. Where 2 % of a source's texts, and five different ones
+    at least, have the same length in characters or bytes, that length is a
+    limit, and ``rare_at_limit`` holds. List entries need no sentence end. Null
+    and empty texts are left out. Other columns are not read; equal texts are
+    judged alike. Runs a job when it is called, for the counts.
     """
-    docs = documents.select("doc_id", "source", F.regexp_replace("text", r"\s+\z", "").alias("t"), F.col("text").endswith(" ").alias("blank"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
-    docs = docs.filter("length(t) > 0")
-    tokens = docs.select("doc_id", "source", "t", "blank", "chars", "bytes", F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("toks")).filter("size(toks) > 0")
-    classes = tokens.select("toks", F.expr(f"transform(toks, x -> {token_class('x')})").alias("c"))
-    at = "CASE WHEN i < 1 THEN '.' ELSE c[i - 1] END"
-    each = classes.select(
-        F.explode(
-            F.expr(
-                """transform(c, (x, i) -> struct(
-                     CASE WHEN i < 2 OR c[i - 1] = '.' THEN '.' ELSE c[i - 2] END AS a,
-                     CASE WHEN i < 1 THEN '.' ELSE c[i - 1] END AS b, x AS c,
-                     i = size(c) - 1 OR c[least(i + 1, size(c) - 1)] = '.' AS e))"""
-            )
-        ).alias("g")
-    ).filter("g.c <> '.'")
-    sums = [F.sum(F.col("e").cast("bigint")).alias("ends"), F.count(F.lit(1)).alias("n")]
-    tri = each.select("g.a", "g.b", "g.c", "g.e").groupBy("a", "b", "c").agg(*sums)
-    again = [F.sum("ends").alias("ends"), F.sum("n").alias("n")]
-    bi, uni = tri.groupBy("b", "c").agg(*again), tri.groupBy("c").agg(*again)
+    docs = documents.select(
+        "doc_id", "source", F.rtrim("text", F.lit(SPACE)).alias("t"), F.col("text").endswith(" ").alias("blank"),
+        F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
+    ).filter("length(t) > 0")
+    counted = written(counts(docs.select("t")).filter("n >= 2"))
+    tri = counted.filter("word IS NULL")
+    sums = [F.sum("ends").alias("ends"), F.sum("n").alias("n")]
     known = lambda df, k: df.filter(F.col("n") >= least).withColumn(k, F.col("ends") / F.col("n")).drop("ends", "n")
-
     # words inside texts, and what longer ones begin with
-    inside = tokens.select(F.explode(F.expr("slice(filter(toks, x -> x rlike '^[\\\\p{L}\\\\p{N}]'), 1, greatest(size(filter(toks, x -> x rlike '^[\\\\p{L}\\\\p{N}]')) - 1, 0))")).alias("w"))
-    seen = inside.groupBy("w").count().filter("count >= 2").select("w")
-    begins = seen.select(F.explode(F.expr("transform(sequence(1, length(w)), k -> substring(w, 1, k))")).alias("last"), "w")
-    begins = begins.groupBy("last").agg(F.max((F.col("w") == F.col("last")).cast("int")).alias("whole"))
-
-    ends = tokens.select(
-        "doc_id", "source", "t", "blank", "chars", "bytes", F.element_at("toks", -1).alias("last"),
-        F.expr(f"transform(slice(toks, -least(size(toks), 3), 3), x -> {token_class('x')})").alias("z"),
-    )
-    ends = ends.select(
-        "doc_id", "source", "blank", "chars", "bytes", "last", "t",
-        F.element_at("z", -1).alias("c"),
-        F.expr("CASE WHEN size(z) < 2 THEN '.' ELSE element_at(z, -2) END").alias("b"),
-        F.expr("CASE WHEN size(z) < 3 OR element_at(z, -2) = '.' THEN '.' ELSE element_at(z, -3) END").alias("a"),
-    )
-    per_length = docs.select("source", "t", F.explode(F.expr("array(struct('c' AS kind, chars AS size), struct('b' AS kind, bytes AS size))")).alias("l"))
-    sizes = per_length.select("source", "l.kind", "l.size", F.xxhash64("t").alias("h")).distinct().groupBy("source", "kind", "size").count()
+    seen = counted.filter("word IS NOT NULL AND inside >= 2").select("word")
+    begins = seen.select(F.explode(F.expr("transform(sequence(1, length(word)), k -> substring(word, 1, k))")).alias("last"), "word")
+    begins = begins.groupBy("last").agg(F.max((F.col("word") == F.col("last")).cast("int")).alias("whole"))
+
     all_ = docs.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
-    limits = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter("count >= 5 AND count * 50 >= of").select(sizes["source"].alias("s"), "kind", "size")
-    by_kind = [limits.filter(f"kind = '{k}'").select(F.coalesce("s", F.lit("")).alias("source_"), F.col("size").alias(c), F.lit(True).alias(f"at_{c}")) for k, c in (("c", "chars"), ("b", "bytes"))]
-
-    shape = ends.select(
-        "doc_id", "source", F.coalesce("source", F.lit("")).alias("source_"), "chars", "bytes", "a", "b", "c", "last",
-        F.col("t").rlike(STAND_IN).alias("stand_in"),
-        F.expr(" OR ".join(f"t rlike {quoted(p)}" for p in OPEN)).alias("open"),
-        F.col("t").rlike(ENTRY).alias("entry"), F.col("t").rlike(LOOSE).alias("loose"), (F.col("t").rlike(DANGLING) | (F.col("blank") & F.col("t").rlike(LOOSE))).alias("dangling"),
-    )
-    out = shape.join(known(tri, "p3"), ["a", "b", "c"], "left").join(known(bi, "p2"), ["b", "c"], "left").join(known(uni, "p1"), ["c"], "left")
-    out = out.join(begins, "last", "left")
-    for k in by_kind:
-        out = out.join(k, [c for c in k.columns if not c.startswith("at_")], "left")
+    limits = []
+    for k in ("chars", "bytes"):
+        sizes = docs.select("source", k, F.xxhash64("t").alias("h")).distinct().groupBy("source", k).count()
+        found = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter("count >= 5 AND count * 50 >= of")
+        limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), k, F.lit(True).alias(f"at_{k}")))
+
+    line = docs.withColumn("line", F.substring_index("t", "\n", -1))
+    unclosed = [f"(contains(t, '{x}') AND NOT contains(substring_index(t, '{x}', -1), '{y}'))" for x, y in PAIRED]
+    shape = line.select(
+        "doc_id", "source", F.coalesce("source", F.lit("")).alias("source_"), "chars", "bytes",
+        F.expr(" OR ".join(f"endswith(t, '{x}')" for x in STAND_INS)).alias("stand_in"),
+        F.expr(" OR ".join([f"line rlike {quoted(p)}" for p in OPEN] + unclosed)).alias("open"),
+        F.col("line").rlike(ENTRY).alias("entry"), F.col("line").rlike(LOOSE).alias("loose"),
+        (F.col("line").rlike(DANGLING) | (F.col("blank") & F.col("line").rlike(LOOSE))).alias("dangling"),
+        F.when(F.col("line").rlike(LOOSE), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("k"),
+    ).withColumns({"p": F.expr("try_element_at(k, -3)"), "q": F.expr("try_element_at(k, -2)"), "last": F.expr("try_element_at(k, -1)")})
+    ends = shape.selectExpr("*", *trigram("p", "q", "last")).drop("k", "p", "q")
+    out = ends.join(known(tri, "p3").drop("word", "inside"), ["a", "b", "c"], "left")
+    out = out.join(known(tri.groupBy("b", "c").agg(*sums), "p2"), ["b", "c"], "left").join(known(tri.groupBy("c").agg(*sums), "p1"), ["c"], "left")
+    out = out.join(begins, "last", "left").join(limits[0], ["source_", "chars"], "left").join(limits[1], ["source_", "bytes"], "left")
     return out.select(
         "doc_id", "source",
         F.expr(
