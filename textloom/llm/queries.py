@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.llm import distinctive, frequency, leakage, nearduplicates, pieces, titles, truncation
+from textloom.llm import distinctive, frequency, leakage, markup, mixing, nearduplicates, pieces, titles, truncation
 from textloom.llm.oracles import SQL  # noqa: F401
 from textloom.operators import pages
 from textloom.operators.staging import written
@@ -15,6 +15,14 @@ def article_texts(spark, folder):
     return pages.articles(table(spark, folder, "page"))
 
 
+def p2_clean(spark, folder):
+    return markup.cleaned(article_texts(spark, folder)).select("id", "clean_text")
+
+
+def p2_found(spark, folder):
+    return markup.cleaned(article_texts(spark, folder)).select("id", F.explode("elements").alias("e")).select("id", "e.kind", "e.content").distinct()
+
+
 def buckets(spark):
     """Eight to a shuffle partition: small enough to score one in memory, large enough that words repeat in it."""
     return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -80,6 +88,14 @@ def p8_found(spark, folder):
     return p8_spans(spark, folder).select("item_id", "doc_id").distinct()
 
 
+def p9_mix(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+
+
+def p9_shares(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+
+
 def p10_truncated(spark, folder):
     return truncation.truncated(table(spark, folder, "documents"))
 
@@ -92,4 +108,4 @@ def p10_rates(spark, folder):
     return truncation.rates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found, p10_truncated, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_clean, p2_found, p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found, p9_mix, p9_shares, p10_truncated, p10_found, p10_rates)}
