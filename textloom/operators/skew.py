@@ -45,17 +45,16 @@ def key_percentiles(pairs: DataFrame, key: str, value: str, at: list[float], *,
     stays in, so the result is exact whatever the quantiles' error.
     """
     rows = pairs.filter(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col("weight").alias("_w"))
-    cuts = rows.groupBy("_k").agg(
+    cuts = rows.groupBy(F.col("_k").alias("_k2")).agg(
         F.percentile_approx("_v", [i / splits for i in range(1, splits)], splits * 40).alias("_cuts"), F.sum("_w").alias("_n")
     )
-    ranged = rows.join(cuts, rows["_k"].eqNullSafe(cuts["_k"])).select(
-        rows["_k"], "_v", "_w", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
+    ranged = rows.join(cuts, F.col("_k").eqNullSafe(F.col("_k2"))).select(
+        "_k", "_v", "_w", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
     )
-    sums = ranged.groupBy("_k", "_range").agg(F.sum("_w").alias("_sum"))
-    w = Window.partitionBy("_k").orderBy("_range")
-    before = sums.select("_k", "_range", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
-    a, b = ranged.alias("a"), before.alias("b")
-    placed = a.join(b, F.col("a._k").eqNullSafe(F.col("b._k")) & (F.col("a._range") == F.col("b._range"))).select("a._k", "a._range", "_v", "_w", "_n", "_before")
+    sums = ranged.groupBy(F.col("_k").alias("_k2"), F.col("_range").alias("_range2")).agg(F.sum("_w").alias("_sum"))
+    w = Window.partitionBy("_k2").orderBy("_range2")
+    before = sums.select("_k2", "_range2", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
+    placed = ranged.join(before, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_range") == F.col("_range2"))).select("_k", "_range", "_v", "_w", "_n", "_before")
     inner = Window.partitionBy("_k", "_range").orderBy("_v")
     ends = placed.withColumn("_end", F.col("_before") + F.sum("_w").over(inner))
     wanted = F.explode(F.array(*map(F.lit, map(float, at))))
