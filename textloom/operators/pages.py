@@ -16,7 +16,10 @@ def latest_rows(df: DataFrame, keys: list[str], newest_first: list[Column]) -> D
     w = Window.partitionBy(*keys).orderBy(*newest_first)
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    return df.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+    nth = "_nth"
+    while nth in df.columns:
+        nth += "_"
+    return df.withColumn(nth, F.row_number().over(w)).filter(F.col(nth) == 1).drop(nth)
 
 
 def article_flag() -> Column:

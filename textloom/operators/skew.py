@@ -73,8 +73,9 @@ def heavy_pairs(df: DataFrame, key: str, value: str, share: str) -> DataFrame:
     broadcast; the compressed pairs then need no further shuffle. Rows with a
     null key or value count nowhere.
     """
-    pairs = compress(df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()), key, value)
-    totals = pairs.groupBy(key).agg(F.sum("weight").alias("_n"))
-    everything = totals.agg(F.sum("_n")).scalar()
-    heavy = totals.filter(F.col("_n") >= F.lit(Decimal(share)) * everything).select(key)
-    return pairs.join(F.broadcast(heavy), key, "left_semi").select(key, value)
+    rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    pairs = compress(rows, "k", "v")
+    totals = pairs.groupBy("k").agg(F.sum("weight").alias("n"))
+    everything = totals.agg(F.sum("n")).scalar()
+    heavy = totals.filter(F.col("n") >= F.lit(Decimal(share)) * everything).select("k")
+    return pairs.join(F.broadcast(heavy), "k", "left_semi").select(F.col("k").alias(key), F.col("v").alias(value))

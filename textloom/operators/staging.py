@@ -17,7 +17,7 @@ _local: str | None = None
 
 def shared_folder(spark: SparkSession) -> str:
     global _local
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
