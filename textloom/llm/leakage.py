@@ -75,8 +75,8 @@ def find(shard: list[tuple[int, str]], wanted: list[tuple[int, list[str]]], n: i
 def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", n: int = 12) -> DataFrame:
     """(item_id, doc_id, first_word, end_word, start, end): stretches of each document that repeat n consecutive words of an item.
 
-    An item of fewer than n words must stand there whole; items and documents
-    that are null, empty or without words match nothing. Spans of one item in
+    An item of fewer than n words must stand there whole; items without key, and
+    items and documents that are null, empty or without words, match nothing. Spans of one item in
     one document that overlap or touch are merged; ``start`` and ``end`` are
     character offsets (-1 where lower-casing changes the number of words).
     Documents stay where they are read: each task indexes its rows in shards
@@ -85,7 +85,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     tasks; if they exceed PASS_CHARS characters they go in several passes,
     split by a hash of their key.
     """
-    held = items.filter(F.length(text) > 0).select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t"))
+    held = items.filter((F.length(text) > 0) & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(text).alias("t"))
     chars = held.agg(F.sum(F.length("t"))).first()[0] or 0
     passes = chars // PASS_CHARS + 1
     docs = documents.filter(F.length(text) > 0).select(F.col(key).cast("long"), F.col(text))

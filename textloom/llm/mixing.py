@@ -34,7 +34,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(encoding.encode_ordinary(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
 
-    rows = documents.filter(F.length("text") > 0).select("doc_id", "source", "text")
+    rows = documents.filter((F.length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "source", "text")
     return rows.mapInArrow(run, "doc_id long, source string, tokens long")
 
 
@@ -95,7 +95,8 @@ def plan(sums: list, wanted: list, total: float | None) -> list[tuple[str, float
 def mix(documents: DataFrame, targets: DataFrame, *, total: float | None = None, tokenizer: str = TOKENIZER, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(records, shares): (doc_id, source, tokens, copies) of every record used, and what each source of ``targets`` reached.
 
-    ``targets``: (source, target_share, max_repeats), one row per source. Each
+    ``targets``: (source, target_share, max_repeats); of several rows for a
+    source the larger values hold, nulls count as 0. Each
     record of a source is used the whole part of its average use; the
     fractional part becomes a chance, and the cube method picks so that
     numbers and tokens of the picked add up. Flights run on blocks of about
@@ -103,13 +104,14 @@ def mix(documents: DataFrame, targets: DataFrame, *, total: float | None = None,
     each leaves open meet in the next round, until one block per source
     lands. So a source with a third of all records is spread like the rest.
     ``total`` is the wanted size in tokens; where a source's repeats do not
-    suffice for its share of it, its actual share falls short. Records without source, of a
+    suffice for its share of it, its actual share falls short. Records without key or source, of a
     source without target, or without tokens are not used. ``shares``:
     (source, target_share, max_repeats, documents, available, used, copies,
     tokens, share); sources without documents show zeros. Equal texts are
     records of their own. Runs jobs when it is called.
     """
-    kinds = targets.filter("source IS NOT NULL").select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int"))
+    share, cap = F.max(F.col("target_share").cast("double")), F.max(F.col("max_repeats").cast("int"))
+    kinds = targets.filter("source IS NOT NULL").groupBy("source").agg(F.coalesce(share, F.lit(0.0)).alias("target_share"), F.coalesce(cap, F.lit(0)).alias("max_repeats"))
     counted = written(token_counts(documents.join(F.broadcast(kinds.select("source")), "source", "left_semi"), tokenizer).filter("tokens > 0"))
     sums = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()  # a row per target source
     uses = plan(sums, kinds.collect(), total)
