@@ -23,14 +23,15 @@ def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings
 
     Documents that have the whole query as a phrase come first, the others
     after them, by score in both. Phrases and prefixes in the query restrict
-    the others. Without any term left, the restricted documents come by id.
+    the others. If a query is nothing but phrases and prefixes, or has no
+    terms, the documents these allow come by id, unranked.
     """
     terms = Counter(index.analysis.terms(index.spark, parser.plain(tree.text)))
     allowed = None
     for r in tree.restrictions:
         found = setqueries.evaluate(index, r)
         allowed = found if allowed is None else allowed.intersect(found)
-    if not terms:
+    if not terms or (tree.restrictions and not tree.rest):
         base = allowed if allowed is not None else setqueries.nothing(index)
         return numbered(base.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("tier")), k)
     scored = bounded(index, terms, allowed, settings, candidates)

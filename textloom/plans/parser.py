@@ -62,6 +62,11 @@ class Keyword:
     text: str
     restrictions: tuple = ()
 
+    @property
+    def rest(self) -> str:
+        """What is left beside phrases and prefixes."""
+        return _PREFIX.sub(" ", _PHRASE.sub(" ", self.text)).strip()
+
 
 def without_operators(query: str) -> str:
     for op in OPERATORS:
