@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textloom.llm import oracle_truncation
+
 #: Shared head: current rows and articles.
 ARTICLES = r"""current_rows AS (
   SELECT * FROM page WHERE id IS NOT NULL
@@ -70,4 +72,5 @@ SELECT id, group_id FROM member WHERE group_id IN (SELECT group_id FROM member G
   SELECT doc_id, n, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS p FROM d, size WHERE len(w) >= n
 )
 SELECT DISTINCT item_id, doc_id FROM phrase JOIN run USING (n, p)""",
+    **oracle_truncation.SQL,
 }

@@ -21,7 +21,7 @@ SPACE = " \t\n\r\f\v\u00a0"
 STAND_INS = ("…", "...", "[…]", "[...]", "\ufffd")
 #: Openers whose closer must follow later in the text: opener, what shows that it is closed.
 PAIRED = (("[[", "]]"), ("{{", "}}"), ("<ref", "</ref"), ("<!--", "-->"))
-#: Ends of a last line inside a tag, an entity, a link, a bracket, a quotation, or a heading.
+#: Ends of a last line inside a tag, an entity, a link, a bracket, a quotation, a heading, or a table.
 OPEN = (
     r"<[\p{L}/!][^<>]*\z",
     r"&#?[\p{L}\p{N}]*\z",
@@ -30,7 +30,10 @@ OPEN = (
     r"»[^»«]*\z",
     r"„[^„“”]*\z",
     r"^=+[^=]+=?\z",
+    r"^\|([^}]|\z)",
 )
+#: Marks that come in pairs within a line.
+TWINS = ("'{2,}", '"')
 #: A last line that is a list entry.
 ENTRY = r"^[ \t]*([*#+-]|[0-9]+\.)[ \t]"
 #: Ends with a word or number, or with a sign that something has to follow.
@@ -73,8 +76,8 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     texts less than twice, but longer words that begin with it are; ``sentence``:
     it ends with a comma or the like, with a blank after a word, or with a
     trigram that is at an end in less than ``rare`` of its occurrences.
-    Trigrams seen fewer than ``least`` times give way to their last two words,
-    then to the last. Where 2 % of a source's texts, and five different ones
+    Trigrams seen fewer than ``least`` times (once: not at all) give way to their last two words,
+    then to the last, then to the two before it. Where 2 % of a source's texts, and five different ones
     at least, have the same length in characters or bytes, that length is a
     limit, and ``rare_at_limit`` holds. List entries need no sentence end. Null
     and empty texts are left out. Other columns are not read; equal texts are
@@ -101,11 +104,12 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
         limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), k, F.lit(True).alias(f"at_{k}")))
 
     line = docs.withColumn("line", F.substring_index("t", "\n", -1))
+    odd = [f"size(regexp_extract_all(line, {quoted(p)}, 0)) % 2 = 1" for p in TWINS]
     unclosed = [f"(contains(t, '{x}') AND NOT contains(substring_index(t, '{x}', -1), '{y}'))" for x, y in PAIRED]
     shape = line.select(
         "doc_id", "source", F.coalesce("source", F.lit("")).alias("source_"), "chars", "bytes",
         F.expr(" OR ".join(f"endswith(t, '{x}')" for x in STAND_INS)).alias("stand_in"),
-        F.expr(" OR ".join([f"line rlike {quoted(p)}" for p in OPEN] + unclosed)).alias("open"),
+        F.expr(" OR ".join([f"line rlike {quoted(p)}" for p in OPEN] + odd + unclosed)).alias("open"),
         F.col("line").rlike(ENTRY).alias("entry"), F.col("line").rlike(LOOSE).alias("loose"),
         (F.col("line").rlike(DANGLING) | (F.col("blank") & F.col("line").rlike(LOOSE))).alias("dangling"),
         F.when(F.col("line").rlike(LOOSE), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("k"),
@@ -113,19 +117,20 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     ends = shape.selectExpr("*", *trigram("p", "q", "last")).drop("k", "p", "q")
     out = ends.join(known(tri, "p3").drop("word", "inside"), ["a", "b", "c"], "left")
     out = out.join(known(tri.groupBy("b", "c").agg(*sums), "p2"), ["b", "c"], "left").join(known(tri.groupBy("c").agg(*sums), "p1"), ["c"], "left")
+    out = out.join(known(tri.groupBy("a", "b").agg(*sums), "p0"), ["a", "b"], "left")
     out = out.join(begins, "last", "left").join(limits[0], ["source_", "chars"], "left").join(limits[1], ["source_", "bytes"], "left")
     return out.select(
         "doc_id", "source",
         F.expr(
             f"""CASE WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN entry THEN NULL WHEN dangling THEN 'sentence'
                 WHEN NOT loose THEN NULL WHEN whole = 0 THEN 'word'
-                WHEN coalesce(p3, p2, p1, 1.0) < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'sentence' END"""
+                WHEN coalesce(p3, p2, p1, p0, 1.0) < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'sentence' END"""
         ).alias("reason"),
     )
 
 
 def quoted(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\") + "'"
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def truncated(documents: DataFrame) -> DataFrame:
