@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import index as ix
 from textloom.operators import ranking, setqueries
+from textloom.operators.numbering import numbered
 from textloom.plans import parser
 from textloom.plans.engine import Engine, title_of
 from textloom.sources import readers, sinks
@@ -125,6 +126,19 @@ def test_strict_parser_goes_left_to_right():
     assert parser.parse("a AND b OR c BUT NOT d", strict=True) == parser.ButNot(parser.Or(parser.And(t("a"), t("b")), t("c")), t("d"))
 
 
+def test_numbers_over_partitions(spark):
+    rows = [(i * 37 % 101, "x") for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, _part string").repartition(7)
+    assert {r.rank: r.k for r in numbered(df, [F.desc("k")]).collect()} == {i + 1: 100 - i for i in range(101)}
+    assert numbered(df.filter("false"), [F.col("k")]).count() == 0
+
+
+def test_lists_come_in_parts(spark):
+    rows = spark.createDataFrame([(i * 6000, "T", "wort") for i in range(4)], SCHEMA)
+    lines = ix.posting_text(ix.build(rows, ix.Analysis([], ())).postings).collect()
+    assert sorted((r.part, r.line) for r in lines) == [(0, "0:0;6000:0"), (1, "12000:0;18000:0")]
+
+
 def test_links(spark):
     rows = [(1, "Ort A", "[[Ort B]] [[ort-b|x]] [[Ort A]]"), (2, "Ort B", "[[Fehlt]]"), (3, "Ort. A", "[[Ort B#s]]"), (4, "C", None)]
     docs = ix.documents(spark.createDataFrame(rows, SCHEMA))

@@ -93,9 +93,18 @@ def links(docs: DataFrame, *, decode_urls: bool = False) -> DataFrame:
     return rows.select(wikitext.title_key(F.col("target")).alias("target_norm"), "source_norm", "source_doc_id").filter(F.length("target_norm") > 0).distinct()
 
 
+#: Lists are written in parts by ranges of so many ids, so that none grows with the collection.
+PART = 10_000
+
+
+def _part(doc_id: str):
+    return F.floor(F.col(doc_id) / PART).alias("part")
+
+
 def link_lists(link_rows: DataFrame) -> DataFrame:
-    """(target_norm, sources): sorted distinct linking titles, as one string per target."""
-    return link_rows.groupBy("target_norm").agg(F.concat_ws(",", F.sort_array(F.collect_set("source_norm"))).alias("sources"))
+    """(target_norm, part, sources): sorted distinct linking titles of a target, a line per part of the linking ids."""
+    lists = link_rows.groupBy("target_norm", _part("source_doc_id")).agg(F.sort_array(F.collect_set("source_norm")).alias("s"))
+    return lists.select("target_norm", "part", F.concat_ws(",", "s").alias("sources"))
 
 
 def stats(docs: DataFrame) -> DataFrame:
@@ -131,10 +140,10 @@ def load(spark: SparkSession, folder: str, analysis: Analysis) -> Index:
 
 
 def posting_text(lists: DataFrame) -> DataFrame:
-    """(term, line): each term's list as ``doc:pos,pos;doc:pos``, documents ascending."""
+    """(term, part, line): each term's list as ``doc:pos,pos;doc:pos``, documents ascending, a line per part of the ids."""
     entry = F.concat_ws(":", "doc_id", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))))
-    each = lists.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("es"))
-    return each.select("term", F.concat_ws(";", F.transform("es", lambda e: e["e"])).alias("line"))
+    each = lists.groupBy("term", _part("doc_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("es"))
+    return each.select("term", "part", F.concat_ws(";", F.transform("es", lambda e: e["e"])).alias("line"))
 
 
 def posting_rows(lines: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ SQL = {
     "stem_light": f"WITH {ARTICLES}, {STOP}, {kept('article', 'id')}, {STEMS} SELECT word, normal, term FROM stem",
     "postings": f"WITH {TERMS} SELECT term, doc_id, count(*)::INTEGER AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY ALL",
     "posting_lists": f"""WITH {TERMS}, line AS (SELECT term, doc_id, doc_id::VARCHAR || ':' || string_agg(pos::VARCHAR, ',' ORDER BY pos) AS e FROM tok GROUP BY term, doc_id)
-SELECT term, string_agg(e, ';' ORDER BY doc_id) AS line FROM line GROUP BY term""",
+SELECT term, doc_id // 10000 AS part, string_agg(e, ';' ORDER BY doc_id) AS line FROM line GROUP BY ALL""",
     "posting_round_trip": f"WITH {TERMS} SELECT term, doc_id, tf FROM posting",
     "vocabulary_df": f"WITH {TERMS} SELECT term, df, cf FROM voc",
     "corpus_stats": f"WITH {ARTICLES} SELECT count(*) AS n_docs FROM article",
@@ -180,7 +180,7 @@ SELECT rank, doc_id, round(score, 6) AS score, title FROM r JOIN article ON id =
 SELECT doc_id, snippet FROM made UNION ALL SELECT doc_id, snippet FROM headed WHERE doc_id NOT IN (SELECT doc_id FROM made)""",
     "clean_markup": f"WITH {CLEAN} SELECT doc_id, t AS clean_text FROM clean",
     "link_extract": f"WITH {LINKS} SELECT target_norm, source_norm, source_doc_id FROM links",
-    "link_lists": f"WITH {LINKS}, d AS (SELECT DISTINCT target_norm, source_norm FROM links) SELECT target_norm, string_agg(source_norm, ',' ORDER BY source_norm) AS sources FROM d GROUP BY 1",
+    "link_lists": f"WITH {LINKS}, d AS (SELECT DISTINCT target_norm, source_norm, source_doc_id // 10000 AS part FROM links) SELECT target_norm, part, string_agg(source_norm, ',' ORDER BY source_norm) AS sources FROM d GROUP BY ALL",
     "link_query": f"""WITH {LINKS}, bearer AS (SELECT {key('title')} AS n, max(id) AS doc_id FROM article GROUP BY 1)
 SELECT doc_id, min(source_norm) AS source_norm FROM links JOIN bearer ON n = source_norm WHERE target_norm = 'großraumnorderwiek' GROUP BY doc_id""",
     "gold_extract": """SELECT query, row_number() OVER (PARTITION BY query ORDER BY gold_rank, translate(title, '"', ''))::INTEGER AS rank, translate(title, '"', '') AS title

@@ -12,6 +12,7 @@ from textloom.config import DEFAULTS, Settings
 from textloom.functions.snippet import snippet
 from textloom.operators import index as ix
 from textloom.operators import ranking, setqueries
+from textloom.operators.numbering import numbered as all_numbered
 from textloom.plans import parser
 from textloom.sources import sinks
 
@@ -92,12 +93,12 @@ class Engine:
         terms = list(dict.fromkeys(self.index.analysis.terms(self.index.spark, parser.plain(query))))
         if isinstance(tree, parser.Link):
             found = setqueries.linking(self.index.links, self.index.documents, tree.title)
-            hits = found.select(F.row_number().over(Window.orderBy("source_norm")).alias("rank"), "doc_id", F.lit(None).cast("double").alias("score"))
+            hits = all_numbered(found.select("doc_id", F.lit(None).cast("double").alias("score"), "source_norm"), [F.col("source_norm"), F.col("doc_id")])
         elif isinstance(tree, parser.Keyword):
             hits = ranked(self.index, tree, k, prf, self.settings, self.candidates)
         else:
             found = setqueries.evaluate(self.index, tree)
-            hits = found.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "doc_id", F.lit(None).cast("double").alias("score"))
+            hits = all_numbered(found.select("doc_id", F.lit(None).cast("double").alias("score")), [F.col("doc_id")])
         return answers(self.index, hits, terms, self.settings)
 
     def evaluate(self, query: str, k: int, prf: int, gold: DataFrame) -> tuple[DataFrame, float]:
