@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from textloom.llm import markup
@@ -61,3 +63,10 @@ def test_table(spark):
 def test_long_text_takes_linear_time():
     text = "Ein Satz mit [[Ziel|Wort]]. " * 20_000 + "\n* a\n" * 5_000
     assert len(elements(text)) == 5_000
+
+
+@pytest.mark.parametrize("bit", ["<pre>", "<pre", "<math>", "$$ x ", "$x ", "{{", "{| ", "\n{|", "<ref>", "<h2>", "<li>", r"\item[", r"\section{", "**a ", "[[", "`", r"\begin{equation}", "<!-", "__a "])
+def test_openers_that_are_never_closed_take_linear_time(bit):
+    began = time.perf_counter()
+    markup.read(bit * 20_000 + " Ende.")
+    assert time.perf_counter() - began < 5

@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +22,71 @@ from pyspark.sql import functions as F
 
 HEADING, ITEM, CODE, FORMULA = "heading", "item", "code", "formula"
 
-#: What is taken whole, wherever it begins first: comments, code, formulas, and things that are no running text.
-WHOLE = re.compile(
+#: Where something begins that is taken whole: comments, code, formulas, and things that are no running text. The first to begin holds.
+OPENER = re.compile(
     r"""
-    (?P<comment><!--.*?(?:-->|\Z))
-  | <(?P<tag>source|syntaxhighlight|pre|listing|xmp)\b[^>]*>(?P<code1>.*?)</(?P=tag)\s*>
-  | ^[ \t]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n(?P<code2>.*?)(?:^[ \t]{0,3}(?P=fence)[`~]*[ \t]*$|\Z)
-  | \\begin\{(?P<env>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?P<code3>.*?)\\end\{(?P=env)\}
-  | <nowiki>(?P<literal>.*?)</nowiki>
-  | (?P<ticks>`[^`\n]+`)
-  | <math\b[^>/]*>(?P<f1>.*?)</math\s*>
-  | \\begin\{(?P<fenv>(?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}(?P<f2>.*?)\\end\{(?P=fenv)\}
-  | (?<!\\)\$\$(?P<f3>.+?)\$\$
-  | \\\[(?P<f4>.+?)\\\]
-  | \\\((?P<f5>.+?)\\\)
-  | (?<![\\\w$])\$(?=[^\s$])(?P<f6>[^$\n]*?(?<![\s\\]))\$(?![\d$])
-  | <gallery\b[^>]*>(?P<gallery>.*?)</gallery\s*>
-  | <ref\b[^>/]*>(?P<ref>.*?)</ref\s*>
-  | <table\b[^>]*>(?P<table>.*?)</table\s*>
-  | ^(?P<wtable>\{\|.*?^\|\})
+    (?P<comment><!--)
+  | <(?P<code>source|syntaxhighlight|pre|listing|xmp)\b[^<>]*>
+  | ^[ \t]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n
+  | \\begin\{(?P<codeenv>verbatim\*?|lstlisting|minted)\}(?:\[[^\[\]\n]*\])?
+  | <(?P<literal>nowiki)>
+  | `(?P<ticks>[^`\n]+)`
+  | <(?P<math>math)\b[^<>]*(?<!/)>
+  | \\begin\{(?P<mathenv>(?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}
+  | (?<!\\)(?P<dollars>\$\$)
+  | (?P<display>\\\[)
+  | (?P<inline>\\\()
+  | (?<![\\\w$])\$(?=[^\s$])(?P<dollar>[^$\n]*)(?<![\s\\])\$(?![\d$])
+  | <(?P<aside>gallery|ref|table)\b[^<>]*(?<!/)>
+  | ^(?P<wtable>\{\|)
   | (?P<template>\{\{[^{}]*\}\})
     """,
-    re.X | re.S | re.M | re.I,
+    re.X | re.M | re.I,
 )
-CODES, FORMULAS = ("code1", "code2", "code3"), ("f1", "f2", "f3", "f4", "f5", "f6")
-ASIDE = ("comment", "gallery", "ref", "table", "wtable", "template")
+#: How each ends; ``{}`` stands for the name in the opener.
+CLOSERS = {
+    "comment": "-->", "code": r"</{}\s*>", "fence": r"^[ \t]{{0,3}}{}[`~]*[ \t]*$", "codeenv": r"\\end\{{{}\}}", "literal": r"</{}>", "math": r"</{}\s*>",
+    "mathenv": r"\\end\{{{}\}}", "dollars": r"\$\$", "display": r"\\\]", "inline": r"\\\)", "aside": r"</{}\s*>", "wtable": r"^\|\}}",
+}
+#: What runs to the end of the text if it is never closed.
+UNBOUND = ("comment", "fence")
+CODES = ("code", "fence", "codeenv")
+FORMULAS = ("math", "mathenv", "dollars", "display", "inline", "dollar")
+
+
+@lru_cache(4096)
+def closer(kind: str, name: str) -> re.Pattern:
+    return re.compile(CLOSERS[kind].format(re.escape(name)), re.M | re.I)
+
+
+def wholes(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, content) of what is taken whole. A closer that is not found is not looked for again, so this takes linear time."""
+    at, missing = 0, set()
+    while m := OPENER.search(text, at):
+        kind = m.lastgroup
+        name = m[kind]
+        if kind in ("ticks", "dollar", "template"):
+            yield m.start(), m.end(), kind, name, name
+            at = m.end()
+            continue
+        key = (kind, name.lower())
+        end = None if key in missing else closer(kind, name).search(text, m.end())
+        if end is None and kind not in UNBOUND:
+            missing.add(key)
+            at = m.end()
+            continue
+        stop = (len(text), len(text)) if end is None else end.span()
+        yield m.start(), stop[1], kind, name, text[m.end() : stop[0]]
+        at = stop[1]
+
 
 #: Elements that may span lines: HTML headings and items, LaTeX headings and items.
 SPANS = re.compile(
     r"""
-    <h(?P<level>[1-6])\b[^>]*>(?P<h1>.*?)</h[1-6]\s*>
-  | \\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]\n]*\])?\{(?P<h2>(?:[^{}]|\{[^{}]*\})*)\}
-  | <li\b[^>]*>(?P<i1>.*?)(?=</li\b|<li\b|</[ou]l\b|\n[ \t]*\n|\Z)
-  | \\item\b(?:\[[^\]\n]*\])?(?P<i2>.*?)(?=\\item\b|\\end\{|\n[ \t]*\n|\Z)
+    <h(?P<level>[1-6])\b[^<>]*>(?P<h1>(?:(?!<h[1-6]\b).)*?)</h[1-6]\s*>
+  | \\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\[\]\n]*\])?\{(?P<h2>(?:[^{}]|\{[^{}]*\})*)\}
+  | <li\b[^<>]*>(?P<i1>.*?)(?=</li\b|<li\b|</[ou]l\b|\n[ \t]*\n|\Z)
+  | \\item\b(?:\[[^\[\]\n]*\])?(?P<i2>.*?)(?=\\item\b|\\end\{|\n[ \t]*\n|\Z)
     """,
     re.X | re.S | re.I,
 )
@@ -82,10 +115,11 @@ INLINE = (
     (re.compile(r"<br\s*/?>", re.I), " "),
     (re.compile(r"</?[A-Za-z][^<>]*>"), ""),
     (re.compile(r"'{2,5}"), ""),
-    (re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1"), r"\2"),
+    (re.compile(r"\*\*(?=\S)((?:(?!\*\*).)+)(?<=\S)\*\*"), r"\1"),
+    (re.compile(r"__(?=\S)((?:(?!__).)+)(?<=\S)__"), r"\1"),
     (re.compile(r"(?<![\w*])\*(?=[^\s*])([^*]+?)(?<=[^\s*])\*(?![\w*])"), r"\1"),
     (re.compile(r"(?<![\w_])_(?=[^\s_])([^_]+?)(?<=[^\s_])_(?![\w_])"), r"\1"),
-    (re.compile(r"~~(?=\S)(.+?)(?<=\S)~~"), r"\1"),
+    (re.compile(r"~~(?=\S)((?:(?!~~).)+)(?<=\S)~~"), r"\1"),
     (re.compile(r"`([^`]+)`"), r"\1"),
     (re.compile(r"\\([&%_#$*{}])"), r"\1"),
 )
@@ -102,7 +136,12 @@ class Reader:
         self.kept: list[tuple[str, str | None, str]] = []
         self.shown: list[str] = []
         self.leaves: list[tuple[str, str | None, str]] = []
-        body = WHOLE.sub(self.take, text)
+        parts, at = [], 0
+        for start, end, kind, name, content in wholes(text):
+            parts += text[at:start], self.take(kind, name, content)
+            at = end
+        parts.append(text[at:])
+        body = "".join(parts)
         at = 0
         for m in SPANS.finditer(body):
             self.lines(body[at : m.start()])
@@ -115,23 +154,16 @@ class Reader:
             at = m.end()
         self.lines(body[at:])
 
-    def take(self, m: re.Match) -> str:
-        name = m.lastgroup
-        groups = m.groupdict()
-        for k in CODES:
-            if groups[k] is not None:
-                return self.keep("body/pre", CODE, one_line(groups[k]), "\n\x02{}\x03\n")
-        for k in FORMULAS:
-            if groups[k] is not None:
-                return self.keep("body/math", FORMULA, one_line(groups[k]), "\x02{}\x03", shown=groups[k])
-        if groups["literal"] is not None:
-            return self.keep("body/p", None, "", "\x02{}\x03", shown=groups["literal"])
-        if name == "ticks":
-            return self.keep("body/p", None, "", "\x02{}\x03", shown=m[0].strip("`"))
-        for k in ASIDE:
-            if groups[k] is not None:
-                return self.keep(f"body/{k}", None, "" if k == "comment" else one_line(groups[k]), "\x02{}\x03")
-        return m[0]
+    def take(self, kind: str, name: str, content: str) -> str:
+        """Keeps a whole; gives what stands for it in the text."""
+        if kind in CODES:
+            return self.keep("body/pre", CODE, one_line(content), "\n\x02{}\x03\n")
+        if kind in FORMULAS:
+            return self.keep("body/math", FORMULA, one_line(content), "\x02{}\x03", shown=content)
+        if kind in ("literal", "ticks"):
+            return self.keep("body/p", None, "", "\x02{}\x03", shown=content)
+        path = name.lower() if kind == "aside" else kind
+        return self.keep(f"body/{path}", None, "" if kind == "comment" else one_line(content), "\x02{}\x03")
 
     def keep(self, path: str, kind: str | None, content: str, form: str, shown: str = "") -> str:
         self.kept.append((path, kind, content))
