@@ -59,6 +59,14 @@ def test_pairs(near):
     assert nearduplicates.alike(df.filter("false"), width=3, least=0.6).count() == 0
 
 
+def test_candidates_of_a_hot_band(spark, monkeypatch):
+    monkeypatch.setattr(nearduplicates, "HOT", 4)
+    bands = {1: range(30), 2: [5, 6], 3: [7], 4: [40, 41, 42, 43, 44]}
+    rows = spark.createDataFrame([(b, i) for b, ids in bands.items() for i in ids], "band long, id long")
+    got = sorted(map(tuple, nearduplicates.candidates(rows).collect()))
+    assert got == sorted({(i, j) for ids in bands.values() for i in ids for j in ids if i < j})
+
+
 def test_groups(near):
     rows, df = near
     pairs = nearduplicates.alike(df, width=3, least=0.6)

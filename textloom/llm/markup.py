@@ -100,6 +100,8 @@ CATEGORY = re.compile(r"\[\[(?:Kategorie|Category|Datei|File|Bild|Image):", re.I
 LEFTOVER = re.compile(r"</?[A-Za-z][^<>]*>|\\(?:begin|end)\{[^{}]*\}")
 MARKED = re.compile(r"[\[\]'*`<&\\{}_~\x02]")
 KEPT = re.compile("\x02(\\d+)\x03")
+#: The control characters that mark kept wholes; a text's own ones count as blanks.
+OWN = {2: " ", 3: " "}
 PUNCTUATION = re.compile(r"[.,;:!?]")
 
 #: Inline rewrites, in order.
@@ -136,6 +138,8 @@ class Reader:
         self.kept: list[tuple[str, str | None, str]] = []
         self.shown: list[str] = []
         self.leaves: list[tuple[str, str | None, str]] = []
+        if "\x02" in text or "\x03" in text:
+            text = text.translate(OWN)
         parts, at = [], 0
         for start, end, kind, name, content in wholes(text):
             parts += text[at:start], self.take(kind, name, content)
