@@ -16,6 +16,8 @@ from textloom.llm.words import WORD
 
 #: Shingles worked on at once, and words whose hashes a task remembers.
 CHUNK, KNOWN = 200_000, 1_000_000
+#: Records of a band that meet in one slice of it; places over which a band is spread.
+HOT, SPREAD = 1000, 16
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -97,6 +99,30 @@ def classes(records: DataFrame) -> DataFrame:
     return prints.join(reps, ["f0", "f1"]).select("id", "rep")
 
 
+def candidates(bands: DataFrame) -> DataFrame:
+    """(a, b), a < b, distinct: ids that share a band, of rows (band, id).
+
+    Rows move once, by band and a hash of the id in 0..SPREAD-1, so that a
+    band with a third of all records is spread. Bands are counted there and
+    summed up, and those of one record, nearly all, are out before the join. A
+    band of more than HOT records is cut into slices of about HOT: each record
+    lies in its slice on the left and meets all slices on the right, so no
+    task takes more than HOT records of a band against the band, and no pair
+    is lost.
+    """
+    place = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SPREAD)), F.lit(0)).cast("int")
+    spread = bands.filter("band IS NOT NULL AND id IS NOT NULL").withColumn("s", place).repartition("band", "s")
+    # the count looks at the ids, as the join does, so that both uses read the same and the shuffle and what lies before it run once
+    parts = spread.groupBy("band", "s").agg(F.count_if(F.col("id") >= F.lit(-(1 << 63))).alias("n"))
+    several = parts.groupBy("band").agg(F.sum("n").alias("n")).filter("n > 1")
+    everywhere = several.select("band", "n", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("s"))
+    shared = spread.join(everywhere, ["band", "s"])
+    slices = F.ceil(F.col("n") / HOT).cast("int")
+    a = shared.select("band", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), F.col("id").alias("a"))
+    b = shared.select("band", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("id").alias("b"))
+    return a.join(b, ["band", "slice"]).filter("a < b").select("a", "b").distinct()
+
+
 def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: int = 64, rows: int = 4) -> DataFrame:
     """(a, b, similarity), a < b: pairs of different texts whose sets of ``width`` consecutive words are alike by at least ``least`` (Jaccard).
 
@@ -111,8 +137,7 @@ def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: in
     texts = records.filter(F.length("text") > 0).select("id", "text")
     reps = texts.groupBy(*(F.xxhash64(F.lower("text"), F.lit(k)).alias(f"f{k}") for k in (0, 1))).agg(F.min("id").alias("id")).select("id")
     rows_ = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long")
-    a, b = rows_.select("band", F.col("id").alias("a")), rows_.select("band", F.col("id").alias("b"))
-    pairs = a.join(b, "band").filter("a < b").select("a", "b").distinct()
+    pairs = candidates(rows_)
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify(width, least), "a long, b long, similarity double")
