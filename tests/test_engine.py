@@ -72,6 +72,14 @@ def test_search(index, spark):
     assert (row.title, row.snippet) == ("A", "apfel rot rot...")
 
 
+def test_compat(index):
+    e = Engine(index[0], compat=True)
+    ids = lambda q, k: [r.doc_id for r in e.search(q, k).orderBy("rank").collect()]
+    assert ids("saft", 2) == [3, 4]  # enough phrase hits: by id
+    assert ids("birne saft", 10) == [4, 3, 5]
+    assert ids("saft", 10) == [3, 4, 5]
+
+
 def test_feedback(index):
     i = index[0]
     texts = i.spark.createDataFrame([("D\nbirne saft apfel saft...",)], "answer string")
@@ -147,6 +155,7 @@ def test_links(spark):
     # of two documents with one title the later stands for it
     assert [r.doc_id for r in setqueries.linking(links, docs, "Ort-B").collect()] == [3]
     assert {r.target_norm: r.sources for r in ix.link_lists(links).collect()}["ortb"] == "orta"
+    assert {tuple(r) for r in ix.link_list_rows(ix.link_lists(links)).collect()} == {tuple(r) for r in links.select("target_norm", "source_norm").collect()}
 
 
 def test_xml_source(spark, tmp_path):

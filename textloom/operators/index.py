@@ -107,6 +107,11 @@ def link_lists(link_rows: DataFrame) -> DataFrame:
     return lists.select("target_norm", "part", F.concat_ws(",", "s").alias("sources"))
 
 
+def link_list_rows(lists: DataFrame) -> DataFrame:
+    """(target_norm, source_norm), distinct: back from ``link_lists``."""
+    return lists.select("target_norm", F.explode(F.split("sources", ",")).alias("source_norm")).distinct()
+
+
 def stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))
 

@@ -181,6 +181,9 @@ SELECT doc_id, snippet FROM made UNION ALL SELECT doc_id, snippet FROM headed WH
     "clean_markup": f"WITH {CLEAN} SELECT doc_id, t AS clean_text FROM clean",
     "link_extract": f"WITH {LINKS} SELECT target_norm, source_norm, source_doc_id FROM links",
     "link_lists": f"WITH {LINKS}, d AS (SELECT DISTINCT target_norm, source_norm, source_doc_id // 10000 AS part FROM links) SELECT target_norm, part, string_agg(source_norm, ',' ORDER BY source_norm) AS sources FROM d GROUP BY ALL",
+    "link_round_trip": f"WITH {LINKS} SELECT DISTINCT target_norm, source_norm FROM links",
+    "operator_strip": """SELECT DISTINCT query, translate(replace(replace(replace(replace(query, ' AND ', ' '), ' OR ', ' '), ' BUT NOT ', ' '), 'LINKTO ', ''), '"*' || chr(39), '') AS plain FROM query_case""",
+    "answer_titles": f"WITH {CLEAN}, {HEAD} SELECT doc_id, title || chr(10) || snippet AS answer, string_split(title, chr(10))[1] AS title FROM headed JOIN article ON id = doc_id",
     "link_query": f"""WITH {LINKS}, bearer AS (SELECT {key('title')} AS n, max(id) AS doc_id FROM article GROUP BY 1)
 SELECT doc_id, min(source_norm) AS source_norm FROM links JOIN bearer ON n = source_norm WHERE target_norm = 'großraumnorderwiek' GROUP BY doc_id""",
     "gold_extract": """SELECT query, row_number() OVER (PARTITION BY query ORDER BY gold_rank, translate(title, '"', ''))::INTEGER AS rank, translate(title, '"', '') AS title

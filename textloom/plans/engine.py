@@ -19,13 +19,15 @@ from textloom.sources import sinks
 RESULT = "rank int, doc_id long, score double, title string, snippet string"
 
 
-def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings: Settings = DEFAULTS, candidates: str = "semi") -> DataFrame:
+def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings: Settings = DEFAULTS, candidates: str = "semi", compat: bool = False) -> DataFrame:
     """(rank, doc_id, score) of a keyword query.
 
     Documents that have the whole query as a phrase come first, the others
     after them, by score in both. Phrases and prefixes in the query restrict
     the others. If a query is nothing but phrases and prefixes, or has no
-    terms, the documents these allow come by id, unranked.
+    terms, the documents these allow come by id, unranked. ``compat``: also a
+    single term is tried as a phrase; phrase hits come by id, and if there are
+    k of them nothing is ranked.
     """
     terms = Counter(index.analysis.terms(index.spark, parser.plain(tree.text)))
     allowed = None
@@ -44,8 +46,13 @@ def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings
         scored = bounded(index, terms + Counter(extra), allowed, settings, candidates)
     rows = scored.withColumn("tier", F.lit(1))
     in_order = index.analysis.terms(index.spark, parser.plain(tree.text))
-    if len(in_order) >= 2:
+    if len(in_order) >= (1 if compat else 2):
         whole = setqueries.phrase_of(index.postings, in_order)
+        if compat:
+            first = whole.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("tier"))
+            if whole.limit(k).count() < k:
+                first = first.unionByName(rows.join(whole, "doc_id", "left_anti"))
+            return numbered(first, k)
         first = ranking.scores(index.postings, index.vocabulary, index.stats, terms, settings).join(whole, "doc_id", "left_semi")
         rows = rows.unionByName(first.withColumn("tier", F.lit(0))).groupBy("doc_id").agg(F.min("tier").alias("tier"), F.max("score").alias("score"))
     return numbered(rows, k)
@@ -73,10 +80,10 @@ def answers(index: ix.Index, results: DataFrame, terms: list[str], settings: Set
 
 
 class Engine:
-    """Search over one index. ``strict``: boolean operators count; else they are dropped and the query is ranked."""
+    """Search over one index. ``strict``: boolean operators count; else they are dropped and the query is ranked. ``candidates``, ``compat``: see ``ranked``."""
 
-    def __init__(self, index: ix.Index, *, strict: bool = False, candidates: str = "semi", settings: Settings = DEFAULTS):
-        self.index, self.strict, self.candidates, self.settings = index, strict, candidates, settings
+    def __init__(self, index: ix.Index, *, strict: bool = False, candidates: str = "semi", compat: bool = False, settings: Settings = DEFAULTS):
+        self.index, self.strict, self.candidates, self.compat, self.settings = index, strict, candidates, compat, settings
 
     @classmethod
     def open_or_build(cls, spark: SparkSession, folder: str, rows: DataFrame, analysis: ix.Analysis, **options) -> Engine:
@@ -95,7 +102,7 @@ class Engine:
             found = setqueries.linking(self.index.links, self.index.documents, tree.title)
             hits = all_numbered(found.select("doc_id", F.lit(None).cast("double").alias("score"), "source_norm"), [F.col("source_norm"), F.col("doc_id")])
         elif isinstance(tree, parser.Keyword):
-            hits = ranked(self.index, tree, k, prf, self.settings, self.candidates)
+            hits = ranked(self.index, tree, k, prf, self.settings, self.candidates, self.compat)
         else:
             found = setqueries.evaluate(self.index, tree)
             hits = all_numbered(found.select("doc_id", F.lit(None).cast("double").alias("score")), [F.col("doc_id")])

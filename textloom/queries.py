@@ -229,6 +229,22 @@ def link_lists(spark, folder):
     return ix.link_lists(link_extract(spark, folder))
 
 
+def link_round_trip(spark, folder):
+    return ix.link_list_rows(link_lists(spark, folder))
+
+
+def operator_strip(spark, folder):
+    """Logged queries without operators and quotes."""
+    return table(spark, folder, "query_case").select("query", plain_query(F.col("query")).alias("plain")).distinct()
+
+
+def answer_titles(spark, folder):
+    """Answers of all articles, title and snippet in one text, and the title back from it."""
+    docs = ix.documents(article_rows(spark, folder))
+    answer = F.concat_ws("\n", F.coalesce("title", F.lit("")), snippet.head_snippet(F.col("clean_text")))
+    return docs.filter(F.length("clean_text") > 0).select("doc_id", answer.alias("answer")).withColumn("title", engine.title_of(F.col("answer")))
+
+
 def link_query(spark, folder):
     docs = ix.documents(article_rows(spark, folder))
     return setqueries.linking(ix.links(docs), docs, LINKED)
@@ -281,7 +297,7 @@ QUERIES = {
     for f in (
         articles, title_norms, tokenize, stop_words, stopword_filter, stem_light, stem_full, postings, posting_lists, posting_round_trip, vocabulary_df,
         corpus_stats, df_cutoff, bm25_topk, bm25_restricted, bm25_union, query_types, bm25_batch, prf_terms, bm25_prf, keyword_pipeline, keyword_full,
-        strict_boolean, snippet_head, snippet_hit, clean_markup, link_extract, link_lists, link_query, gold_extract, ndcg, xml_pages, index_round_trip,
+        strict_boolean, snippet_head, snippet_hit, clean_markup, link_extract, link_lists, link_round_trip, link_query, operator_strip, answer_titles, gold_extract, ndcg, xml_pages, index_round_trip,
         p1_found, p1_summary, p1_percentiles,
     )
 } | {
