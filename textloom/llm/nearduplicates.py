@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import components
@@ -92,9 +92,20 @@ def verify(width: int, least: float):
     return run
 
 
+def fingerprint() -> list[Column]:
+    """Two hashes of the text, case left out: the same for exact copies."""
+    return [F.xxhash64(F.lower("text"), F.lit(k)).alias(f"f{k}") for k in (0, 1)]
+
+
+def has_run(width: int) -> Column:
+    """Whether the text has as many words."""
+    word, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
+    return F.col("text").rlike(f"(?:{word}{gap}){{{width - 1}}}{word}")
+
+
 def classes(records: DataFrame) -> DataFrame:
     """(id, rep): of every record the least id among those with the same text but for case."""
-    prints = records.select("id", *(F.xxhash64(F.lower("text"), F.lit(k)).alias(f"f{k}") for k in (0, 1)))
+    prints = records.select("id", *fingerprint())
     reps = prints.groupBy("f0", "f1").agg(F.min("id").alias("rep"))
     return prints.join(reps, ["f0", "f1"]).select("id", "rep")
 
@@ -135,16 +146,19 @@ def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: in
     on the words themselves.
     """
     texts = records.filter(F.length("text") > 0).select("id", "text")
-    reps = texts.groupBy(*(F.xxhash64(F.lower("text"), F.lit(k)).alias(f"f{k}") for k in (0, 1))).agg(F.min("id").alias("id")).select("id")
-    rows_ = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long")
-    pairs = candidates(rows_)
+    reps = texts.groupBy(*fingerprint()).agg(F.min("id").alias("id")).select("id")
+    bands = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long")
+    pairs = candidates(bands)
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify(width, least), "a long, b long, similarity double")
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: the pairs of representatives for all their copies, and the copies of one text among themselves."""
+    """(id_a, id_b), id_a < id_b: the pairs of representatives for all their copies, and the copies of one text among themselves.
+
+    ``members``: ``classes`` of the records with enough words to be alike (see ``has_run``).
+    """
     x, y = (members.select(F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("a", "i"), ("b", "j")))
     across = pairs.select("a", "b").join(x, "a").join(y, "b").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     copies = x.join(y, x["a"] == y["b"]).filter("i < j").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))

@@ -49,7 +49,7 @@ def p4_pairs(spark, folder):
 
 
 def p4_found(spark, folder):
-    members = nearduplicates.classes(titled_texts(spark, folder))
+    members = nearduplicates.classes(titled_texts(spark, folder).filter(nearduplicates.has_run(3)))
     return nearduplicates.expand(p4_pairs(spark, folder), members)
 
 
