@@ -109,6 +109,64 @@ HEAD = f"""head AS (
 ), cut AS (SELECT *, {last_blank('t', '(e - 1)')} AS b FROM head
 ), headed AS (SELECT doc_id, replace(t[1:CASE WHEN b > 200 THEN b ELSE e END], chr(10), ' ') || '...' AS snippet FROM cut WHERE length(t) > 0)"""
 
+CLEAN_ONLY = CLEAN.removeprefix(f"{ARTICLES}, ")
+
+
+def stems_of(source: str, tag: str) -> str:
+    """STEMS over the words of another CTE, under names of its own."""
+    text = STEMS.replace("FROM kept", f"FROM {source}")
+    for name in ("spelled", "once", "stem"):
+        text = text.replace(f"{name} AS (", f"{name}_{tag} AS (").replace(f"FROM {name}", f"FROM {name}_{tag}")
+    return text
+
+
+def hit_snippets(results: str, terms: str, tag: str) -> str:
+    """CTEs up to shown_<tag>(doc_id, snippet): snippets of the documents of ``results`` for the terms of the CTE ``terms``."""
+    return rf"""win_{tag} AS (SELECT doc_id, t[1:10000] AS t FROM clean WHERE doc_id IN (SELECT doc_id FROM {results}) AND length(t) > 0
+), split_{tag} AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM win_{tag}
+), piece_{tag} AS (SELECT doc_id, t, unnest(list_concat(w[1:499], CASE WHEN len(w) > 499 THEN [array_to_string(w[500:], ' ')] ELSE [] END)) AS p, unnest(range(least(len(w), 500))) AS o FROM split_{tag}
+), said_{tag} AS (SELECT doc_id, t, p, o, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+') AS w FROM piece_{tag})
+), first_{tag} AS (SELECT doc_id, any_value(t) AS t, any_value(p) AS p, o, arg_min(word, k) AS word FROM said_{tag} WHERE word NOT IN (SELECT w FROM stop) GROUP BY doc_id, o
+), {stems_of(f'first_{tag}', tag)}, hit_{tag} AS (
+  SELECT doc_id, any_value(t) AS t, arg_min(p, o) AS p FROM first_{tag} JOIN stem_{tag} USING (word) WHERE term IN (SELECT term FROM {terms}) GROUP BY doc_id
+), placed_{tag} AS (SELECT doc_id, t, instr(t, p) - 1 AS p FROM hit_{tag}
+), near_{tag} AS (SELECT *, {last_blank('t', '(p - 100)')} + 1 AS near FROM placed_{tag}
+), start_{tag} AS (SELECT *, CASE WHEN p <= 100 THEN 0 WHEN p - near > 140 THEN p - 100 ELSE near END AS a, least(p + 120, length(t)) AS e FROM near_{tag}
+), stop_{tag} AS (SELECT *, {last_blank('t', '(e - 1)')} AS b FROM start_{tag}
+), made_{tag} AS (SELECT doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || replace(t[a + 1:CASE WHEN b - a > 200 THEN b ELSE e END], chr(10), ' ') || '...' AS snippet FROM stop_{tag}
+), shown_{tag} AS (SELECT * FROM made_{tag} UNION ALL SELECT doc_id, snippet FROM headed WHERE doc_id IN (SELECT doc_id FROM win_{tag}) AND doc_id NOT IN (SELECT doc_id FROM made_{tag}))"""
+
+
+def scored(name: str, asked: str, where: str = "") -> str:
+    """BM25 as a CTE, of the terms in the CTE ``asked`` (term, qf)."""
+    return f"""{name} AS (
+  SELECT doc_id, round(sum(ln(((SELECT count(*) FROM article) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE * tf / (1.2::DOUBLE + tf) * 101 * qf / (100 + qf)), 9) AS score
+  FROM {asked} JOIN voc USING (term) JOIN posting USING (term) {where} GROUP BY doc_id)"""
+
+
+def in_a_row(*terms: str) -> str:
+    """Documents with terms that follow each other, by joins."""
+    joins = "".join(f" JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos = t0.pos + {i} AND t{i}.term = '{t}'" for i, t in enumerate(terms) if i)
+    return f"SELECT DISTINCT t0.doc_id FROM tok t0{joins} WHERE t0.term = '{terms[0]}'"
+
+
+KEYWORDS = ("bau", "nutzung", "list", "fluss", "ostmark")
+KEYWORD_SQL = f"""WITH {TERMS}, {CLEAN_ONLY}, {HEAD}, asked AS (SELECT unnest({list(KEYWORDS)}) AS term, 1 AS qf
+), {scored('every', 'asked')}, whole AS ({in_a_row(*KEYWORDS)}), allowed AS ({PHRASE_3}), tiers AS (
+  SELECT doc_id, score, doc_id NOT IN (SELECT doc_id FROM whole) AS tier FROM every WHERE doc_id IN (SELECT doc_id FROM whole UNION SELECT doc_id FROM allowed)
+), best AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, doc_id)::INTEGER AS rank FROM tiers QUALIFY rank <= 20), {hit_snippets('best', 'asked', 'k')}
+SELECT rank, best.doc_id, round(score, 6) AS score, title, snippet FROM best JOIN article ON id = best.doc_id LEFT JOIN shown_k ON shown_k.doc_id = best.doc_id"""
+
+PRF_SQL = rf"""WITH {TERMS}, {CLEAN_ONLY}, {HEAD}, asked AS (SELECT * FROM (VALUES ('bruck', 2), ('siedlung', 1)) v(term, qf)
+), {scored('s', 'asked')}, three AS (SELECT doc_id FROM s ORDER BY score DESC, doc_id LIMIT 3), {hit_snippets('three', 'asked', 'f')}, answer AS (
+  SELECT unnest(regexp_extract_all(lower(regexp_replace(title || chr(10) || snippet, '\.\.\.', '', 'g')), '[\p{{L}}\p{{N}}]+')) AS word FROM shown_f JOIN article ON id = doc_id
+), fresh AS (SELECT DISTINCT word FROM answer WHERE word NOT IN (SELECT w FROM stop)), {stems_of('fresh', 'g')}, extra AS (
+  SELECT term FROM answer JOIN stem_g USING (word) WHERE term NOT IN (SELECT term FROM asked) GROUP BY term ORDER BY count(*) DESC, term LIMIT 10
+), more AS (SELECT term, qf FROM asked UNION ALL SELECT term, 1 FROM extra), {scored('again', 'more')}, whole AS ({in_a_row('bruck', 'siedlung', 'bruck')}), tiers AS (
+  SELECT doc_id, min(tier) AS tier, max(score) AS score FROM (SELECT doc_id, score, 1 AS tier FROM again UNION ALL SELECT doc_id, score, 0 FROM s WHERE doc_id IN (SELECT doc_id FROM whole)) GROUP BY doc_id
+), best AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, doc_id)::INTEGER AS rank FROM tiers QUALIFY rank <= 10)
+SELECT rank, doc_id, round(score, 6) AS score, title FROM best JOIN article ON id = doc_id"""
+
 ASKED = """asked AS (
   SELECT * FROM query_case WHERE query IS NOT NULL AND query_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY asked_at NULLS LAST, query, topk) = 1
@@ -160,6 +218,8 @@ SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= top
 ), answer AS (SELECT unnest(regexp_extract_all(lower(regexp_replace(title || chr(10) || text, '\.\.\.', '', 'g')), '[\p{{L}}\p{{N}}]+')) AS word FROM article WHERE id IN (SELECT doc_id FROM best)
 ), fresh AS (SELECT DISTINCT word FROM answer WHERE word NOT IN (SELECT w FROM stop)), {STEMS.replace('spelled AS', 'spelled2 AS').replace('FROM spelled', 'FROM spelled2').replace('once AS', 'once2 AS').replace('FROM once', 'FROM once2').replace('stem AS', 'stem2 AS').replace('FROM kept', 'FROM fresh')}
 SELECT term, count(*) AS n FROM answer JOIN stem2 USING (word) WHERE term NOT IN ('bruck', 'siedlung') GROUP BY term ORDER BY n DESC, term LIMIT 10""",
+    "bm25_prf": PRF_SQL,
+    "keyword_pipeline": KEYWORD_SQL,
     "strict_boolean": f"""WITH {TERMS}, hit AS (
   (({PHRASE_2}) INTERSECT SELECT doc_id FROM posting WHERE term IN (SELECT term FROM voc WHERE term LIKE 'bruck%' ORDER BY term LIMIT 10)) EXCEPT {having('kapell')}
 ) SELECT (row_number() OVER (ORDER BY doc_id))::INTEGER AS rank, doc_id, title FROM hit JOIN article ON id = doc_id""",
