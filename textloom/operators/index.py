@@ -124,12 +124,12 @@ def build(rows: DataFrame, analysis: Analysis, *, wiki: bool = True) -> Index:
 
 
 def save(index: Index, folder: str) -> None:
-    """Writes all tables. Postings lie in term order, so a query reads the row groups of its terms only; the vocabulary is counted from what was written."""
+    """Writes all tables. Postings lie in term order, so a query reads the row groups of its terms only; a term that is everywhere spans several files. The vocabulary is counted from what was written."""
     index.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     written = index.spark.read.parquet(f"{folder}/postings")
     vocabulary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    index.links.repartitionByRange("target_norm").sortWithinPartitions("target_norm").write.mode("overwrite").parquet(f"{folder}/links")
+    index.links.repartitionByRange("target_norm", "source_doc_id").sortWithinPartitions("target_norm", "source_doc_id").write.mode("overwrite").parquet(f"{folder}/links")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
 
