@@ -49,6 +49,7 @@ def test_clean_text():
     text = f"{sentence}\n\n== Lage ==\n* [[Ziel|a]]\n\n{sentence}Es gilt $x$.\n\n{{| class='t'\n| a || b\n|}}\n[[Kategorie:X]]"
     clean = markup.read(text)[0]
     assert "## Lage" in clean and "- a" in clean and "$x$" in clean and sentence.strip() in clean
+    assert "```\na = 1\n  b\n```" in markup.read("<pre>\na = 1\n  b\n</pre>")[0]  # code keeps its lines
     assert "[[" not in clean and "{|" not in clean and "Kategorie" not in clean
 
 

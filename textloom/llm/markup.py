@@ -161,7 +161,7 @@ class Reader:
     def take(self, kind: str, name: str, content: str) -> str:
         """Keeps a whole; gives what stands for it in the text."""
         if kind in CODES:
-            return self.keep("body/pre", CODE, one_line(content), "\n\x02{}\x03\n")
+            return self.keep("body/pre", CODE, content.strip("\n"), "\n\x02{}\x03\n")
         if kind in FORMULAS:
             return self.keep("body/math", FORMULA, one_line(content), "\x02{}\x03", shown=content)
         if kind in ("literal", "ticks"):
@@ -175,7 +175,7 @@ class Reader:
         return form.format(len(self.kept) - 1)
 
     def leaf(self, path: str, kind: str | None, content: str) -> None:
-        if content:
+        if content and not content.isspace():
             self.leaves.append((path, kind, content))
 
     def inline(self, text: str, formula: str = "{}") -> str:
@@ -259,7 +259,7 @@ def read(text: str, share: float = 0.2) -> tuple[str, list[tuple[str, str, str]]
     """The clean text, and its elements (path, kind, content) in order."""
     leaves = Reader(text).leaves
     chosen = [leaf for leaf, yes in zip(leaves, content(leaves, share)) if yes]
-    return "\n".join(render(k, t) for _, k, t in chosen).strip(), [(p, k, t) for p, k, t in chosen if k]
+    return "\n".join(render(k, t) for _, k, t in chosen).strip(), [(p, k, one_line(t)) for p, k, t in chosen if k]
 
 
 def cleaned(records: DataFrame, key: str = "id", text: str = "text", *, share: float = 0.2) -> DataFrame:
