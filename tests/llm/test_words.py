@@ -152,3 +152,11 @@ def test_fixed_length_is_a_limit(spark):
     rows = [(i, t, "a") for i, t in enumerate(texts)] + [(100 + i, t, "fest") for i, t in enumerate(cut)] + [(200, texts[0] + " Es gibt ein Haus bei Lindenau", "a")]
     got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[100 + i] == "sentence" for i in range(8)) and got[200] is None
+
+
+def test_trigrams_seen_once_count_for_fewer_words(spark):
+    """No trigram of "rot <w>" or "blau <w>" recurs, but the pairs do: one never ends a sentence, the other always."""
+    rows = [(i, f"{x} rot ist {x} da.", "s") for i, x in enumerate("abcdefghijkl")] + [(100 + i, f"Es {x} blau oft.", "s") for i, x in enumerate("abcdefghijkl")]
+    rows += [(200, "Heute rot ist", "s"), (201, "Heute blau oft", "s")]
+    got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: "sentence" if i == 200 else None for i, _, _ in rows}

@@ -76,8 +76,8 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     texts less than twice, but longer words that begin with it are; ``sentence``:
     it ends with a comma or the like, with a blank after a word, or with a
     trigram that is at an end in less than ``rare`` of its occurrences.
-    Trigrams seen fewer than ``least`` times (once: not at all) give way to their last two words,
-    then to the last, then to the two before it. Where 2 % of a source's texts, and five different ones
+    Trigrams seen fewer than ``least`` times give way to their last two words, then to the last, then to
+    the two before it; the rates of these are over all trigrams, however rare. Where 2 % of a source's texts, and five different ones
     at least, have the same length in characters or bytes, that length is a
     limit, and ``rare_at_limit`` holds. List entries need no sentence end. Null
     and empty texts are left out. Other columns are not read; equal texts are
@@ -87,12 +87,13 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
         "doc_id", "source", F.rtrim("text", F.lit(SPACE)).alias("t"), F.col("text").endswith(" ").alias("blank"),
         F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
     ).filter("length(t) > 0")
-    counted = written(counts(docs.select("t")).filter("n >= 2"))
+    # all trigrams, as the rates of fewer words are sums over them
+    counted = written(counts(docs.select("t")).filter("word IS NULL OR inside >= 2"))
     tri = counted.filter("word IS NULL")
     sums = [F.sum("ends").alias("ends"), F.sum("n").alias("n")]
     known = lambda df, k: df.filter(F.col("n") >= least).withColumn(k, F.col("ends") / F.col("n")).drop("ends", "n")
     # words inside texts, and what longer ones begin with
-    seen = counted.filter("word IS NOT NULL AND inside >= 2").select("word")
+    seen = counted.filter("word IS NOT NULL").select("word")
     begins = seen.select(F.explode(F.expr("transform(sequence(1, length(word)), k -> substring(word, 1, k))")).alias("last"), "word")
     begins = begins.groupBy("last").agg(F.max((F.col("word") == F.col("last")).cast("int")).alias("whole"))
 
