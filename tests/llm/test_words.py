@@ -160,3 +160,11 @@ def test_trigrams_seen_once_count_for_fewer_words(spark):
     rows += [(200, "Heute rot ist", "s"), (201, "Heute blau oft", "s")]
     got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {i: "sentence" if i == 200 else None for i, _, _ in rows}
+
+
+def test_copies_do_not_hide_a_limit(spark):
+    """Texts of a source are counted once each, in the share that has one length as in what it is a share of."""
+    rows = [(i, "Es gibt ein Haus bei Lindenau" + (" und Wald." if i % 2 else "."), "a") for i in range(60)]
+    rows += [(100 + i, f"Nummer {i}. Es gibt ein Haus bei Lindenau", "fest") for i in range(8)] + [(200 + i, "Der Hof steht.", "fest") for i in range(500)]
+    got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, reason in got.items() if reason} == {100 + i for i in range(8)}

@@ -77,7 +77,7 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     it ends with a comma or the like, with a blank after a word, or with a
     trigram that is at an end in less than ``rare`` of its occurrences.
     Trigrams seen fewer than ``least`` times give way to their last two words, then to the last, then to
-    the two before it; the rates of these are over all trigrams, however rare. Where 2 % of a source's texts, and five different ones
+    the two before it; the rates of these are over all trigrams, however rare. Where 2 % of a source's different texts, and five
     at least, have the same length in characters or bytes, that length is a
     limit, and ``rare_at_limit`` holds. List entries need no sentence end. Null
     and empty texts are left out. Other columns are not read; equal texts are
@@ -97,7 +97,7 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     begins = seen.select(F.explode(F.expr("transform(sequence(1, length(word)), k -> substring(word, 1, k))")).alias("last"), "word")
     begins = begins.groupBy("last").agg(F.max((F.col("word") == F.col("last")).cast("int")).alias("whole"))
 
-    all_ = docs.groupBy("source").agg(F.count(F.lit(1)).alias("of"))
+    all_ = docs.groupBy("source").agg(F.count_distinct(F.xxhash64("t")).alias("of"))
     limits = []
     for k in ("chars", "bytes"):
         sizes = docs.select("source", k, F.xxhash64("t").alias("h")).distinct().groupBy("source", k).count()
