@@ -71,3 +71,25 @@ def test_openers_that_are_never_closed_take_linear_time(bit):
     began = time.perf_counter()
     markup.read(bit * 20_000 + " Ende.")
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("{| class='x'\n! Ort\n|-\n| <math>a</math> || b\n|\n* [[Ziel|c]]\n== D ==\n|}", [("formula", "a"), ("item", "c"), ("heading", "D")]),
+        ("<table><tr><td><h3>A</h3>\n<ul><li>b</li></ul>\n<pre>c</pre></td></tr></table>", [("heading", "A"), ("item", "b"), ("code", "c")]),
+        ("Text<ref>Siehe $a$.\n# b\n</ref> und {{Kasten\n| x = \\(c\\)\n* d\n}}", [("formula", "a"), ("item", "b"), ("formula", "c"), ("item", "d")]),
+        ("<table>\n<td>a<ref>{{X|$b$}}</ref></td></table>", [("formula", "b")]),
+        ("<gallery>\n1. Bild.png|a $b$\n* c.png|d\n</gallery>", [("formula", "b")]),
+        ("Text<ref>1. Mose 3</ref><ref>* a</ref><ref>== a ==</ref><ref>a\n---\n</ref><ref><!-- $a$ --></ref>", []),
+    ],
+)
+def test_elements_in_wholes(text, found):
+    assert elements(text) == found
+    clean = markup.read(text, 0)[0]
+    assert "\x02" not in clean and "\x03" not in clean and all(clean.count(c) >= 1 for _, c in found)
+
+
+def test_running_text_of_a_whole_is_left_to_the_ratio():
+    clean = markup.read("Der Ort liegt am Fluss, der im Jahr 1900 begradigt wurde. " * 5 + "\n\n{|\n| y\n|\n* b\n|}\n\nEnde, im Jahr 1900.")[0]
+    assert "- b" in clean and "y" not in clean

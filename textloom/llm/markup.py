@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -132,14 +132,23 @@ def one_line(text: str) -> str:
 
 
 class Reader:
-    """One text, read into leaves (path, kind or None, content) in order."""
+    """One text, read into leaves (path, kind or None, content) in order.
 
-    def __init__(self, text: str):
+    ``within``: the text is the content of such a whole. It goes on in the line
+    of the opener, so its first line is no heading or item; ``\x03`` stands for
+    the opener. In a gallery a line begins with a file name, so none is.
+    """
+
+    def __init__(self, text: str, within: str = ""):
+        self.flat = within == "gallery"
         self.kept: list[tuple[str, str | None, str]] = []
+        self.inner: list[Sequence[tuple[str, str | None, str]]] = []
         self.shown: list[str] = []
         self.leaves: list[tuple[str, str | None, str]] = []
         if "\x02" in text or "\x03" in text:
             text = text.translate(OWN)
+        if within:
+            text = "\x03" + text
         parts, at = [], 0
         for start, end, kind, name, content in wholes(text):
             parts += text[at:start], self.take(kind, name, content)
@@ -166,14 +175,26 @@ class Reader:
             return self.keep("body/math", FORMULA, one_line(content), "\x02{}\x03", shown=content)
         if kind in ("literal", "ticks"):
             return self.keep("body/p", None, "", "\x02{}\x03", shown=content)
+        if kind == "comment":
+            return self.keep("body/comment", None, "", "\x02{}\x03")
         path = name.lower() if kind == "aside" else kind
-        return self.keep(f"body/{path}", None, "" if kind == "comment" else one_line(content), "\x02{}\x03")
+        leaves = Reader(content[2:-2] if kind == "template" else content, path).leaves
+        inner = [(f"body/{path}{p.removeprefix('body')}", k, c) for p, k, c in leaves if k]
+        if inner:
+            content = " ".join(c for _, k, c in leaves if not k).replace("\x03", "")
+        return self.keep(f"body/{path}", None, one_line(content), "\x02{}\x03", inner=inner)
 
-    def keep(self, path: str, kind: str | None, content: str, form: str, shown: str = "") -> str:
+    def keep(self, path: str, kind: str | None, content: str, form: str, shown: str = "", inner: Sequence[tuple[str, str | None, str]] = ()) -> str:
         self.kept.append((path, kind, content))
+        self.inner.append(inner)
         self.shown.append(shown)
         return form.format(len(self.kept) - 1)
 
+    def put(self, n: int) -> None:
+        """The leaf of a kept whole, and those of the elements in it."""
+        for leaf in (self.kept[n], *self.inner[n]):
+            self.leaf(*leaf)
+
     def leaf(self, path: str, kind: str | None, content: str) -> None:
         if content and not content.isspace():
             self.leaves.append((path, kind, content))
@@ -184,7 +205,7 @@ class Reader:
             return one_line(text)
         numbers = [int(n) for n in KEPT.findall(text)]
         for n in numbers:
-            self.leaf(*self.kept[n])
+            self.put(n)
         for pattern, to in INLINE:
             text = pattern.sub(to, text)
         text = html.unescape(text)
@@ -201,6 +222,9 @@ class Reader:
             if not row or row.isspace():
                 continue
             first = row[0]
+            if self.flat:
+                self.leaf("body/p", None, self.inline(LEFTOVER.sub("", row), "${}$"))
+                continue
             if first == "=" and (m := WIKI_HEADING.match(row)):
                 self.leaf("body/h2", HEADING, self.inline(m[1]))
                 continue
@@ -208,7 +232,7 @@ class Reader:
                 self.leaf("body/h2", HEADING, self.inline(m[1] or m[2] or ""))
                 continue
             item = None if EMPHASIS.match(row) else LIST_ITEM.match(row)
-            if item is None and k < len(rows) and rows[k][:1] in ("=", "-") and UNDERLINE.match(rows[k]) and first not in "=-|!{<\x02":
+            if item is None and k < len(rows) and rows[k][:1] in ("=", "-") and UNDERLINE.match(rows[k]) and first not in "=-|!{<\x02\x03":
                 self.leaf("body/h2", HEADING, self.inline(row))
                 k += 1
                 continue
@@ -219,7 +243,7 @@ class Reader:
                 self.leaf("body/category", None, self.inline(row))
             elif first in ":\x02" and not KEPT.sub("", row).strip(": \t"):
                 for n in KEPT.findall(row):
-                    self.leaf(*self.kept[int(n)])
+                    self.put(int(n))
             elif not UNDERLINE.match(row):
                 self.leaf("body/p", None, self.inline(LEFTOVER.sub("", row), "${}$"))
 
@@ -269,7 +293,8 @@ def cleaned(records: DataFrame, key: str = "id", text: str = "text", *, share: f
     mark of what they are; tables, templates, galleries, references, comments
     and category links go unless their path's ratio says they are running
     text. Elements: headings and items without inline markup, links as their
-    label, entities resolved; code and formulas as written. Comments hold no
+    label, entities resolved; code and formulas as written. Those in tables,
+    templates, galleries and references count as well. Comments hold no
     elements, nor do code blocks. An empty text gives an empty text and no
     elements; equal rows come out alike. Records are worked on one by one.
     """
