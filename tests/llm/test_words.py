@@ -168,3 +168,11 @@ def test_copies_do_not_hide_a_limit(spark):
     rows += [(100 + i, f"Nummer {i}. Es gibt ein Haus bei Lindenau", "fest") for i in range(8)] + [(200 + i, "Der Hof steht.", "fest") for i in range(500)]
     got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert {i for i, reason in got.items() if reason} == {100 + i for i in range(8)}
+
+
+def test_list_entries_break_off(spark):
+    whole = [(i, " ".join(SENTENCES), "s") for i in range(5)]
+    cases = {10: ("* Die Kir", "word"), 11: ("* Ufer und Haus,", "sentence"), 12: ("* Mühle am Ufer der", None), 13: ("* Haus am Ufer der ", None), 14: ("* Turm", None)}
+    rows = whole + [(i, f"{SENTENCES[0]}\n{t}", "s") for i, (t, _) in cases.items()]
+    got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: None for i, _, _ in whole} | {i: reason for i, (_, reason) in cases.items()}

@@ -79,7 +79,8 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     Trigrams seen fewer than ``least`` times give way to their last two words, then to the last, then to
     the two before it; the rates of these are over all trigrams, however rare. Where 2 % of a source's different texts, and five
     at least, have the same length in characters or bytes, that length is a
-    limit, and ``rare_at_limit`` holds. List entries need no sentence end. Null
+    limit, and ``rare_at_limit`` holds. List entries need no sentence end,
+    but a word broken off and a sign that something follows count in them, too. Null
     and empty texts are left out. Other columns are not read; equal texts are
     judged alike. Runs a job when it is called, for the counts.
     """
@@ -123,8 +124,8 @@ def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.
     return out.select(
         "doc_id", "source",
         F.expr(
-            f"""CASE WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN entry THEN NULL WHEN dangling THEN 'sentence'
-                WHEN NOT loose THEN NULL WHEN whole = 0 THEN 'word'
+            f"""CASE WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN dangling AND NOT (entry AND loose) THEN 'sentence'
+                WHEN NOT loose THEN NULL WHEN whole = 0 THEN 'word' WHEN entry THEN NULL
                 WHEN coalesce(p3, p2, p1, p0, 1.0) < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'sentence' END"""
         ).alias("reason"),
     )
