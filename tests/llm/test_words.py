@@ -108,32 +108,40 @@ def test_truncated(spark):
     rng = random.Random(5)
     whole = [" ".join(rng.choices(SENTENCES, k=4)) for _ in range(80)]
     cases = {
-        1000: (whole[0] + " Die Kirche wurde im Ja", "word"),
-        1001: (whole[1] + " Die Kirche wurde im", "sentence"),
-        1002: (whole[2] + " Der Ort liegt am Rand der ", "sentence"),
-        1003: (whole[3] + " Die Kirche …", "stand-in"),
-        1004: (whole[4] + " Die Ki [...]", "stand-in"),
-        1005: (whole[5] + " Siehe [[Ort", "open"),
-        1006: (whole[6] + " (vgl. Haus", "open"),
-        1007: (whole[7] + "\n== Lage", "open"),
-        1008: (whole[8] + " <ref>Karte", "open"),
-        1009: (whole[9] + " »Das Haus", "open"),
-        1010: (whole[10] + " {{Infobox\n| Ort = X", "open"),
-        1011: (whole[11] + " Umland &am", "open"),
-        1012: (whole[12] + " Die Kirche wurde,", "sentence"),
+        1000: (whole[0] + " Die Kirche wurde im Ja", "trigram"),
+        1001: (whole[1] + " Die Kirche wurde im", "trigram"),
+        1002: (whole[2] + " Der Ort liegt am Rand der ", "trigram"),
+        1003: (whole[3] + " Die Kirche …", "trigram"),
+        1004: (whole[4] + " Die Ki [...]", "trigram"),
+        1005: (whole[5] + " Siehe [[Ort", True),
+        1006: (whole[6] + " (vgl. Haus", True),
+        1007: (whole[7] + "\n== Lage", True),
+        1008: (whole[8] + " <ref>Karte", True),
+        1009: (whole[9] + " »Das Haus", True),
+        1010: (whole[10] + " {{Infobox\n| Ort = X", True),
+        1011: (whole[11] + " Umland &am", True),
+        1012: (whole[12] + " Die Kirche wurde,", "trigram"),
+        1013: (whole[13] + " Siehe <a href='x'\nclass='y", True),
+        1014: (whole[14] + " <ref name='a'>Karte 1", True),
+        1015: (whole[15] + "\n{| class='x'\n! Jahr", True),
+        1016: (whole[16] + " \"Gut,\nsagt er nun", True),
+        1017: (whole[17] + "\n* Der Ort lie", "word"),
+        1018: (whole[18] + " Ufer …", "stand-in"),
         2000: (whole[13] + " Die Kirche wurde im Jahr 1900 erneuert", None),
         2001: (whole[14] + "\n* Mühle am Ufer der", None),
         2002: (whole[15] + "\n(Karte: Haus, 1900.)", None),
         2003: (whole[16] + "\n[[Kategorie:Ort]]", None),
         2004: (whole[17] + "\n\n", None),
-        2005: ("Ort", "sentence"),  # judged like any other: it begins sentences and never ends one
+        2005: ("Ort", "trigram"),  # judged like any other: it begins sentences and never ends one
         2006: ("...", "stand-in"),
+        2007: (whole[18] + " <references /> Die Mühle<ref name='b' />.", None),
     }
     rows = [(i, t, "s") for i, t in enumerate(whole)] + [(i, t, None if i == 1000 else "s") for i, (t, _) in cases.items()]
     rows += [(3000, None, "s"), (3001, "", "leer"), (3002, "  \n", "s"), (None, whole[0], "s")]
     df = spark.createDataFrame([(*r, "x", "x") for r in rows], "doc_id long, text string, source string, c string, word string")
     got = {r.doc_id: r.reason for r in truncation.judged(df).collect()}
-    assert {i: got[i] for i in cases} == {i: reason for i, (_, reason) in cases.items()}
+    assert {i: got[i] for i, (_, reason) in cases.items() if reason is not True} == {i: reason for i, (_, reason) in cases.items() if reason is not True}
+    assert all(got[i] for i, (_, reason) in cases.items() if reason)  # open ends, by whichever test sees them first
     assert all(got[i] is None for i in range(len(whole))) and not {3000, 3001, 3002} & set(got)
     rate = {r.source: (r.documents, r.truncated) for r in truncation.rates(df).collect()}
     assert rate[None] == (1, 1) and rate["leer"] == (1, 0) and rate["s"][1] == sum(r is not None for _, r in cases.values()) - 1
@@ -151,7 +159,7 @@ def test_fixed_length_is_a_limit(spark):
         cut.append((t[: 200 - len(tail)].rsplit(".", 1)[0] + ".").ljust(200 - len(tail), "x") + tail)
     rows = [(i, t, "a") for i, t in enumerate(texts)] + [(100 + i, t, "fest") for i, t in enumerate(cut)] + [(200, texts[0] + " Es gibt ein Haus bei Lindenau", "a")]
     got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[100 + i] == "sentence" for i in range(8)) and got[200] is None
+    assert all(got[100 + i] == "trigram" for i in range(8)) and got[200] is None
 
 
 def test_trigrams_seen_once_count_for_fewer_words(spark):
@@ -159,7 +167,7 @@ def test_trigrams_seen_once_count_for_fewer_words(spark):
     rows = [(i, f"{x} rot ist {x} da.", "s") for i, x in enumerate("abcdefghijkl")] + [(100 + i, f"Es {x} blau oft.", "s") for i, x in enumerate("abcdefghijkl")]
     rows += [(200, "Heute rot ist", "s"), (201, "Heute blau oft", "s")]
     got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert got == {i: "sentence" if i == 200 else None for i, _, _ in rows}
+    assert got == {i: "trigram" if i == 200 else None for i, _, _ in rows}
 
 
 def test_copies_do_not_hide_a_limit(spark):
@@ -172,7 +180,50 @@ def test_copies_do_not_hide_a_limit(spark):
 
 def test_list_entries_break_off(spark):
     whole = [(i, " ".join(SENTENCES), "s") for i in range(5)]
-    cases = {10: ("* Die Kir", "word"), 11: ("* Ufer und Haus,", "sentence"), 12: ("* Mühle am Ufer der", None), 13: ("* Haus am Ufer der ", None), 14: ("* Turm", None)}
+    cases = {10: ("* Die Kir", "word"), 11: ("* Ufer und Haus,", "sign"), 12: ("* Mühle am Ufer der", None), 13: ("* Haus am Ufer der ", None), 14: ("* Turm", None)}
     rows = whole + [(i, f"{SENTENCES[0]}\n{t}", "s") for i, (t, _) in cases.items()]
     got = {r.doc_id: r.reason for r in truncation.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got == {i: None for i, _, _ in whole} | {i: reason for i, (_, reason) in cases.items()}
+
+
+def test_planted_cuts_are_found(spark):
+    """Texts whose cut is known because it is made here: at a random place, at a fixed length, or before the last stop only, which is no cut."""
+    rng = random.Random(11)
+    names = [f"{a}{b}{c}" for a in ("Lin", "Wald", "Brück", "Stein") for b in ("den", "hof", "see", "ried") for c in ("au", "born", "heim")]
+    forms = [
+        "{} liegt am Rand der Stadt {} und wurde {} erneuert.", "Die Kirche von {} wurde im Jahr {} durch {} umgebaut.", "Zwischen {} und {} führt ein Weg zur Mühle {}.",
+        "Bei der Zählung von {} lebten in {} über {} Menschen.", "Das Haus gehört seit {} zu der Gemeinde {}.", "Am Ufer bei {} steht {} mit einer Brücke von {} Metern.",
+    ]
+
+    def text(n):
+        return " ".join(f.format(*(str(rng.randrange(900, 2000)) if rng.random() < 0.3 else rng.choice(names) for _ in range(3))) for f in rng.choices(forms, k=n))
+
+    whole = [text(rng.randrange(4, 12)) for _ in range(600)]
+    rows, cut = [(i, t, "ganz") for i, t in enumerate(whole)], set()
+    for i in range(200):
+        t = text(8)
+        kept = t[: rng.randrange(60, len(t) - 1)] if i % 2 else t[:200]
+        if kept.rstrip()[-1] not in "." and not t[len(kept) :].startswith("."):
+            rows.append((1000 + i, kept, "zufall" if i % 2 else "fest"))
+            cut.add(1000 + i)
+    rows += [(2000 + i, text(5)[:-1], "ohne") for i in range(100)]
+    found = {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(found & cut) >= 0.95 * len(cut) and len(found - cut) <= 0.01 * len(found)
+
+
+def test_copies_of_a_cut_text_do_not_hide_it(spark):
+    """A third of all rows are copies of one cut text: its end counts once, and not for itself."""
+    rng = random.Random(4)
+    whole = [" ".join(rng.choices(SENTENCES, k=5)) for _ in range(60)]
+    cut = whole[0] + " Die Kirche wurde im"
+    rows = [(i, t, "s") for i, t in enumerate(whole)] + [(100 + i, cut, "s") for i in range(30)]
+    assert {r.doc_id for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == set(range(100, 130))
+
+
+def test_word_test_does_not_depend_on_size(spark):
+    """A broken word that damaged texts hold now and then is still no word; one that stands whole often enough is one."""
+    for times in (1, 20):
+        rows = [(i, "Am Ort und am Ende steht das Haus.", "s") for i in range(200 * times)] + [(10_000 + i, "Heute un da.", "s") for i in range(times)]
+        rows += [(20_000, "* Am Ort un", "s"), (20_001, "* Am Ort am", "s")]
+        got = {r.doc_id: r.reason for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert got == {20_000: "word"}

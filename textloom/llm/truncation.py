@@ -1,10 +1,12 @@
 """Texts that were cut off before their end, in SQL alone.
 
-Trigrams of words are counted inside texts and at ends (of sentences and of
-texts); a text whose last trigram is frequent inside but almost never at an
-end was cut. Words are counted by their form, so that names and numbers do not
-thin the counts out: a number counts as ``0``, a capitalised word of over five
-letters as ``N``, a lower-case one of over six by its last three.
+Trigrams of words are counted inside texts, and how often they stand at the
+end of a sentence or line; a text whose last trigram is frequent inside but
+almost never at an end was cut. Words are counted by their form, so that names
+and numbers do not thin the counts out: a number counts as ``0``, a capitalised
+word of over five letters as ``N``, a lower-case one of over six by its last
+three. What stands last in a text without a stop is not counted, as it is what
+has to be judged.
 """
 
 from __future__ import annotations
@@ -19,21 +21,20 @@ TOKEN = r"[\p{L}\p{N}]+|[.?!]+(?:\s|\z)|\n"
 SPACE = " \t\n\r\f\v\u00a0"
 #: What stands for a missing rest at the very end.
 STAND_INS = ("…", "...", "[…]", "[...]", "\ufffd")
+#: Such signs, and those that something has to follow, are no part of the last trigram.
+AFTER = r"(?:\[?(?:…|\.\.\.)\]?|\x{FFFD}|[,;:–-]|\s)+\z"
 #: Openers whose closer must follow later in the text: opener, what shows that it is closed.
-PAIRED = (("[[", "]]"), ("{{", "}}"), ("<ref", "</ref"), ("<!--", "-->"))
-#: Ends of a last line inside a tag, an entity, a link, a bracket, a quotation, a heading, or a table.
-OPEN = (
-    r"<[\p{L}/!][^<>]*\z",
-    r"&#?[\p{L}\p{N}]*\z",
-    r"\[[^\[\]]*\z",
-    r"\([^()]*\z",
-    r"»[^»«]*\z",
-    r"„[^„“”]*\z",
-    r"^=+[^=]+=?\z",
-    r"^\|([^}]|\z)",
-)
-#: Marks that come in pairs within a line.
-TWINS = ("'{2,}", '"')
+PAIRED = (("[[", "]]"), ("{{", "}}"), ("{|", "|}"), ("<!--", "-->"), ("\\begin{", "\\end{"))
+#: Elements that must be closed; those closed in themselves hold nothing.
+ELEMENTS = ("ref", "pre", "source", "syntaxhighlight", "math", "nowiki", "gallery", "table", "code")
+#: An end of the text inside a tag, or an entity.
+OPEN_TEXT = r"<[\p{L}/!][^<>]*\z|&#?[\p{L}\p{N}]*\z"
+#: Ends of a last paragraph inside a link, a bracket, or a quotation.
+OPEN_PARAGRAPH = r"\[[^\[\]]*\z|\([^()]*\z|»[^»«]*\z|„[^„“”]*\z"
+#: Ends of a last line inside a heading, or a table.
+OPEN_LINE = r"^=+[^=]+=?\z|^\|([^}]|\z)"
+#: Marks that come in pairs within a line, and within a paragraph.
+TWINS = (("line", "'{2,}"), ("para", '"'))
 #: A last line that is a list entry.
 ENTRY = r"^[ \t]*([*#+-]|[0-9]+\.)[ \t]"
 #: Ends with a word or number, or with a sign that something has to follow.
@@ -53,80 +54,99 @@ def trigram(a: str, b: str, c: str) -> list[str]:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(a, b, c, word, n, ends, inside): of every trigram of classes (word null) and every word (a, b, c null) its occurrences, those at ends, and those not last in a text.
+    """(a, b, c, word, n, ends): of every trigram of classes (word null) and every word (a, b, c null) that something follows its occurrences, and those that a sentence or line end follows.
 
     ``texts``: (t string). One pass: each text's tokens are zipped with
     themselves, shifted, and both groupings are combined by hash in the task.
     """
-    tokens = texts.select(F.concat(F.array(F.lit("."), F.lit(".")), F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), F.array(F.lit(""))).alias("k"))
+    tokens = texts.select(F.concat(F.array(F.lit("."), F.lit(".")), F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("k"))
     shifted = tokens.selectExpr("k AS p", *(f"slice(k, {i}, size(k)) AS {x}" for i, x in ((2, "q"), (3, "r"), (4, "s"))))
     rows = shifted.select(F.explode(F.arrays_zip("p", "q", "r", "s")).alias("z")).select("z.*")
     rows = rows.filter("s IS NOT NULL AND substring(r, 1, 1) NOT IN ('.', '?', '!', '\\n')")
-    each = rows.selectExpr(*trigram("p", "q", "r"), "r AS word", "s = '' OR substring(s, 1, 1) IN ('.', '?', '!', '\\n') AS e", "s <> '' AS i")
+    each = rows.selectExpr(*trigram("p", "q", "r"), "r AS word", "substring(s, 1, 1) IN ('.', '?', '!', '\\n') AS e")
     keys = [F.col(x) for x in ("a", "b", "c", "word")]
-    one = lambda c: F.sum(F.col(c).cast("bigint"))
-    return each.groupingSets([keys[:3], keys[3:]], *keys).agg(F.count(F.lit(1)).alias("n"), one("e").alias("ends"), one("i").alias("inside"))
+    return each.groupingSets([keys[:3], keys[3:]], *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e").cast("bigint")).alias("ends"))
 
 
-def judged(documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.9, least: int = 3) -> DataFrame:
+def judged(
+    documents: DataFrame, *, rare: float = 0.1, rare_at_limit: float = 0.9, least: int = 3, broken: int = 50, limit_share: float = 0.02, limit_least: int = 5
+) -> DataFrame:
     """(doc_id, source, reason): every document with a text; one whose text breaks off has a reason, all others null.
 
-    ``stand-in``: the end says that something is missing; ``open``: markup, a
-    bracket or a quotation is left open; ``word``: the last word is seen inside
-    texts less than twice, but longer words that begin with it are; ``sentence``:
-    it ends with a comma or the like, with a blank after a word, or with a
-    trigram that is at an end in less than ``rare`` of its occurrences.
-    Trigrams seen fewer than ``least`` times give way to their last two words, then to the last, then to
-    the two before it; the rates of these are over all trigrams, however rare. Where 2 % of a source's different texts, and five
-    at least, have the same length in characters or bytes, that length is a
-    limit, and ``rare_at_limit`` holds. List entries need no sentence end,
-    but a word broken off and a sign that something follows count in them, too. Null
-    and empty texts are left out. Other columns are not read; equal texts are
+    The first of these that holds: ``trigram``: the last trigram is at an end
+    in less than ``rare`` of its occurrences inside texts; ``word``: for each
+    time the last word stands whole inside a text, longer words that begin with
+    it do over ``broken`` times; ``stand-in``: the end says that something is
+    missing; ``open``: markup, a bracket or a quotation is left open;
+    ``sign``: it ends with a comma or the like, or with a blank after a word.
+
+    Trigrams seen fewer than ``least`` times elsewhere give way to their last
+    two words, then to the last, then to the two before it; the rates of these
+    are over all trigrams, however rare. Other texts that end so without a stop
+    count as ends. A last word that is no whole one is judged by the two before
+    it. Stand-ins and signs at the end are no part of the trigram.
+    Where ``limit_share`` of a source's different texts, and ``limit_least`` at
+    least, have the same length in characters or bytes, that length is a limit
+    (in bytes, also up to three under it, where a character of several was
+    hit), and ``rare_at_limit`` holds. List entries need no sentence end, so no
+    trigram is asked for, but a word broken off counts in them, too. Null and
+    empty texts are left out. Other columns are not read; equal texts are
     judged alike. Runs a job when it is called, for the counts.
     """
     docs = documents.select(
         "doc_id", "source", F.rtrim("text", F.lit(SPACE)).alias("t"), F.col("text").endswith(" ").alias("blank"),
         F.length("text").alias("chars"), F.octet_length("text").alias("bytes"),
     ).filter("length(t) > 0")
-    # all trigrams, as the rates of fewer words are sums over them
-    counted = written(counts(docs.select("t")).filter("word IS NULL OR inside >= 2"))
+    # all of them, as the rates of fewer words are sums over them
+    counted = written(counts(docs.select("t")))
     tri = counted.filter("word IS NULL")
     sums = [F.sum("ends").alias("ends"), F.sum("n").alias("n")]
-    known = lambda df, k: df.filter(F.col("n") >= least).withColumn(k, F.col("ends") / F.col("n")).drop("ends", "n")
-    # words inside texts, and what longer ones begin with
-    seen = counted.filter("word IS NOT NULL").select("word")
-    begins = seen.select(F.explode(F.expr("transform(sequence(1, length(word)), k -> substring(word, 1, k))")).alias("last"), "word")
-    begins = begins.groupBy("last").agg(F.max((F.col("word") == F.col("last")).cast("int")).alias("whole"))
+    known = lambda df, k: df.withColumnsRenamed({"n": f"n{k}", "ends": f"ends{k}"})
+    # how often what begins a word is a word, and how often it goes on
+    begins = counted.filter("word IS NOT NULL").select("word", "n")
+    begins = begins.select(F.explode(F.expr("transform(sequence(1, length(word)), k -> substring(word, 1, k))")).alias("last"), (F.length("word") > F.length("last")).alias("on"), "n")
+    begins = begins.groupBy("last").agg(F.sum(F.when(F.col("on"), F.col("n")).otherwise(-broken * F.col("n"))).alias("lack"))
+    begins = begins.filter("lack > 0").select("last", F.lit(True).alias("part"))
 
     all_ = docs.groupBy("source").agg(F.count_distinct(F.xxhash64("t")).alias("of"))
     limits = []
-    for k in ("chars", "bytes"):
+    for k, under in (("chars", 0), ("bytes", 3)):
         sizes = docs.select("source", k, F.xxhash64("t").alias("h")).distinct().groupBy("source", k).count()
-        found = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter("count >= 5 AND count * 50 >= of")
-        limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), k, F.lit(True).alias(f"at_{k}")))
-
-    line = docs.withColumn("line", F.substring_index("t", "\n", -1))
-    odd = [f"size(regexp_extract_all(line, {quoted(p)}, 0)) % 2 = 1" for p in TWINS]
-    unclosed = [f"(contains(t, '{x}') AND NOT contains(substring_index(t, '{x}', -1), '{y}'))" for x, y in PAIRED]
-    shape = line.select(
+        found = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter((F.col("count") >= limit_least) & (F.col("count") >= F.lit(limit_share) * F.col("of")))
+        near = F.explode(F.sequence(F.col(k) - under, F.col(k))).alias(k)
+        limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), near, F.lit(True).alias(f"at_{k}")).distinct())
+
+    ends = docs.withColumns({"line": F.substring_index("t", "\n", -1), "para": F.substring_index("t", "\n\n", -1), "core": F.regexp_replace("t", AFTER, "")})
+    odd = [f"size(regexp_extract_all({x}, {quoted(p)}, 0)) % 2 = 1" for x, p in TWINS]
+    unclosed = [f"(contains(t, {quoted(x)}) AND NOT contains(substring_index(t, {quoted(x)}, -1), {quoted(y)}))" for x, y in PAIRED]
+    unclosed += [f"(contains(t, '<{x}') AND substring_index(t, '<{x}', -1) rlike '^(>|[ \\t]([^<>]*[^<>/])?>)' AND NOT contains(substring_index(t, '<{x}', -1), '</{x}'))" for x in ELEMENTS]
+    patterns = [f"t rlike {quoted(OPEN_TEXT)}", f"para rlike {quoted(OPEN_PARAGRAPH)}", f"line rlike {quoted(OPEN_LINE)}"]
+    shape = ends.select(
         "doc_id", "source", F.coalesce("source", F.lit("")).alias("source_"), "chars", "bytes",
+        F.xxhash64("t").alias("h"), F.col("line").rlike(LOOSE).cast("int").alias("own"),
         F.expr(" OR ".join(f"endswith(t, '{x}')" for x in STAND_INS)).alias("stand_in"),
-        F.expr(" OR ".join([f"line rlike {quoted(p)}" for p in OPEN] + odd + unclosed)).alias("open"),
-        F.col("line").rlike(ENTRY).alias("entry"), F.col("line").rlike(LOOSE).alias("loose"),
-        (F.col("line").rlike(DANGLING) | (F.col("blank") & F.col("line").rlike(LOOSE))).alias("dangling"),
-        F.when(F.col("line").rlike(LOOSE), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).alias("k"),
+        F.expr(" OR ".join(patterns + odd + unclosed)).alias("open"),
+        F.col("line").rlike(ENTRY).alias("entry"),
+        (F.col("line").rlike(DANGLING) | (F.col("blank") & F.col("line").rlike(LOOSE) & ~F.col("line").rlike(ENTRY))).alias("sign"),
+        F.when(F.col("core").rlike(LOOSE), F.regexp_extract_all(F.substring_index("core", "\n", -1), F.lit(TOKEN), F.lit(0))).alias("k"),
     ).withColumns({"p": F.expr("try_element_at(k, -3)"), "q": F.expr("try_element_at(k, -2)"), "last": F.expr("try_element_at(k, -1)")})
-    ends = shape.selectExpr("*", *trigram("p", "q", "last")).drop("k", "p", "q")
-    out = ends.join(known(tri, "p3").drop("word", "inside"), ["a", "b", "c"], "left")
-    out = out.join(known(tri.groupBy("b", "c").agg(*sums), "p2"), ["b", "c"], "left").join(known(tri.groupBy("c").agg(*sums), "p1"), ["c"], "left")
-    out = out.join(known(tri.groupBy("a", "b").agg(*sums), "p0"), ["a", "b"], "left")
+    shape = shape.selectExpr("*", *trigram("p", "q", "last")).drop("k", "p", "q")
+    # texts that end so without a stop, each different one once
+    tails = shape.filter("own = 1").select("a", "b", "c", "h").distinct().groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("ends", F.col("n"))
+    whole = tri.select("a", "b", "c", "n", "ends").unionByName(tails).groupBy("a", "b", "c").agg(*sums)
+    out = shape.join(known(whole, 3), ["a", "b", "c"], "left")
+    out = out.join(known(whole.groupBy("b", "c").agg(*sums), 2), ["b", "c"], "left").join(known(whole.groupBy("c").agg(*sums), 1), ["c"], "left")
+    out = out.join(known(tri.groupBy("a", "b").agg(*sums), 0), ["a", "b"], "left")
     out = out.join(begins, "last", "left").join(limits[0], ["source_", "chars"], "left").join(limits[1], ["source_", "bytes"], "left")
+    p3, p2, p1 = (f"CASE WHEN n{k} - own >= {least} THEN (ends{k} - own) / (n{k} - own) END" for k in (3, 2, 1))
+    p0 = f"CASE WHEN n0 >= {least} THEN ends0 / n0 END"
+    part = "(part AND c <> '0')"
     return out.select(
         "doc_id", "source",
         F.expr(
-            f"""CASE WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN dangling AND NOT (entry AND loose) THEN 'sentence'
-                WHEN NOT loose THEN NULL WHEN whole = 0 THEN 'word' WHEN entry THEN NULL
-                WHEN coalesce(p3, p2, p1, p0, 1.0) < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'sentence' END"""
+            f"""CASE WHEN last IS NOT NULL AND NOT entry AND CASE WHEN {part} THEN coalesce({p0}, 1.0) ELSE coalesce({p3}, {p2}, {p1}, {p0}, 1.0) END
+                < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'trigram'
+                WHEN {part} THEN 'word' WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN sign THEN 'sign' END"""
         ).alias("reason"),
     )
 
