@@ -183,8 +183,20 @@ def test_leaks(spark):
     assert leakage.leaks(df.filter("false"), held).count() == 0 and leakage.leaks(df, held.filter("false")).count() == 0
 
 
-def test_leaks_in_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "PASS_CHARS", 20)
+def test_shards_are_bounded(spark, monkeypatch):
+    """Tiny documents count too: by their words, and one for each."""
+    sizes = []
+    monkeypatch.setattr(leakage, "SHARD_WORDS", 300)
+    monkeypatch.setattr(leakage, "Shard", lambda docs: sizes.append(sum(len(ws) + 1 for _, _, ws in docs)) or type("S", (), {"find": lambda self, wanted: []})())
+    block = type("B", (), {"value": leakage.phrases([(1, "a b")], 12)})()
+    texts = ["a b c"] * 1000 + ["."] * 1000 + ["x " * 1000]
+    batch = leakage.pa.RecordBatch.from_arrays([leakage.pa.array(range(len(texts))), leakage.pa.array(texts)], ["doc_id", "text"])
+    assert list(leakage.searcher([block])(iter([batch]))) == []
+    assert sum(sizes) == 4000 + 1000 + 1001 and max(sizes[:-1]) <= 303 and sizes[-1] <= 1001 + 300
+
+
+def test_leaks_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 20)
     items = spark.createDataFrame([(i, f"wort{i} ende") for i in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(i, f"ein wort{i} ende hier") for i in range(9)], "doc_id long, text string")
     assert sorted((r.item_id, r.doc_id) for r in leakage.leaks(docs, items).collect()) == [(i, i) for i in range(9)]

@@ -43,4 +43,4 @@ def test_find_is_exact(docs, item, n):
     n_item = min(n, len(item))
     runs = {tuple(item[k : k + n_item]) for k in range(len(item) - n_item + 1)}
     want = {i for i, t in shard if any(tuple(t.split()[k : k + n_item]) in runs for k in range(len(t.split()) - n_item + 1))}
-    assert {r[1] for r in leakage.find(shard, leakage.phrases([(1, " ".join(item))], n), n)} == want
+    assert {r[1] for r in leakage.find(shard, leakage.phrases([(1, " ".join(item))], n))} == want

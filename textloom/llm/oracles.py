@@ -26,6 +26,17 @@ COUNTS = rf"""{ARTICLES}, word AS (
 #: The title key of an expression.
 KEY = r"translate(lower(regexp_replace({}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), ' .:,;-', '')"
 
+#: Where runs of 12 words of an item, or whole shorter items, stand in documents.
+LEAKS = r"""d AS (
+  SELECT doc_id, regexp_extract_all(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents
+), e AS (
+  SELECT item_id, regexp_extract_all(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM eval_item
+), phrase AS (
+  SELECT DISTINCT item_id, least(12, len(w)) AS n, unnest([array_to_string(w[i : i + least(12, len(w)) - 1], ' ') FOR i IN range(1, greatest(len(w) - 12, 0) + 2)]) AS p FROM e WHERE len(w) > 0
+), size AS (SELECT DISTINCT n FROM phrase), run AS (
+  SELECT doc_id, n, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS p, unnest(range(len(w) - n + 1)) AS a FROM d, size WHERE len(w) >= n
+), hit AS (SELECT DISTINCT item_id, doc_id, a, a + n AS b FROM phrase JOIN run USING (n, p))"""
+
 SQL = {
     "p3_found": f"""WITH {COUNTS}, scored AS (
   SELECT id, term, tf * ln((SELECT count(*) FROM article)::DOUBLE / records) AS score FROM tf JOIN counts USING (term) WHERE records >= 2
@@ -62,15 +73,18 @@ SELECT id, group_id FROM member WHERE group_id IN (SELECT group_id FROM member G
     "p6_found": f"WITH {ARTICLES} SELECT id FROM article WHERE length(text) > 4000",
     "p7_terms": f"WITH {COUNTS} SELECT term, occurrences, records, mark FROM marked",
     "p7_found": f"WITH {COUNTS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
-    "p8_found": r"""WITH d AS (
-  SELECT doc_id, regexp_extract_all(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM documents
-), e AS (
-  SELECT item_id, regexp_extract_all(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[\p{L}\p{N}]+') AS w FROM eval_item
-), phrase AS (
-  SELECT DISTINCT item_id, least(12, len(w)) AS n, unnest([array_to_string(w[i : i + least(12, len(w)) - 1], ' ') FOR i IN range(1, greatest(len(w) - 12, 0) + 2)]) AS p FROM e WHERE len(w) > 0
-), size AS (SELECT DISTINCT n FROM phrase), run AS (
-  SELECT doc_id, n, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS p FROM d, size WHERE len(w) >= n
+    "p8_found": f"WITH {LEAKS} SELECT DISTINCT item_id, doc_id FROM hit",
+    "p8_spans": rf"""WITH {LEAKS}, fresh AS (
+  SELECT *, coalesce(a > max(b) OVER (PARTITION BY item_id, doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS new FROM hit
+), island AS (SELECT *, sum(new) OVER (PARTITION BY item_id, doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM fresh
+), span AS (SELECT item_id, doc_id, min(a)::INTEGER AS first_word, max(b)::INTEGER AS end_word FROM island GROUP BY item_id, doc_id, k
+), raw AS (
+  SELECT doc_id, len(w) AS n, [length(x) FOR x IN regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')] AS w, [length(x) FOR x IN string_split_regex(text, '[\p{{L}}\p{{N}}]+')] AS gap
+  FROM documents JOIN d USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM span)
 )
-SELECT DISTINCT item_id, doc_id FROM phrase JOIN run USING (n, p)""",
+SELECT item_id, doc_id, first_word, end_word,
+  CASE WHEN len(raw.w) = n THEN (list_sum(gap[1:first_word + 1]) + coalesce(list_sum(raw.w[1:first_word]), 0))::INTEGER ELSE -1 END AS start,
+  CASE WHEN len(raw.w) = n THEN (list_sum(gap[1:end_word]) + list_sum(raw.w[1:end_word]))::INTEGER ELSE -1 END AS end
+FROM span JOIN raw USING (doc_id)""",
     **oracle_truncation.SQL,
 }
