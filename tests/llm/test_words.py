@@ -126,7 +126,7 @@ def test_truncated(spark):
         1015: (whole[15] + "\n{| class='x'\n! Jahr", True),
         1016: (whole[16] + " \"Gut,\nsagt er nun", True),
         1017: (whole[17] + "\n* Der Ort lie", "word"),
-        1018: (whole[18] + " Ufer …", "stand-in"),
+        1018: (whole[18] + " Ufer …", True),
         2000: (whole[13] + " Die Kirche wurde im Jahr 1900 erneuert", None),
         2001: (whole[14] + "\n* Mühle am Ufer der", None),
         2002: (whole[15] + "\n(Karte: Haus, 1900.)", None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+BLANKS = "(chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))"
 STOPS = "('.', '?', '!', chr(10))"
 TOKEN = r"'[\p{L}\p{N}]+|[.?!]+(?:\s|\z)|\n'"
 
@@ -23,10 +24,11 @@ def rate(k: int, own: str) -> str:
 
 #: Why texts count as cut off.
 CUT = rf"""doc AS (
-  SELECT doc_id, source, rtrim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)) AS t, text LIKE '% ' AS blank, length(text) AS chars, strlen(text) AS bytes FROM documents
+  SELECT doc_id, source, rtrim(text, {BLANKS}) AS t, text LIKE '% ' AS blank, length(text) AS chars, strlen(text) AS bytes FROM documents
 ), tok AS (
   SELECT *, regexp_extract_all(t, {TOKEN}) AS k, string_split(t, chr(10))[-1] AS line, string_split(t, chr(10) || chr(10))[-1] AS para,
-    regexp_replace(t, '(?:\[?(?:…|\.\.\.)\]?|\x{{FFFD}}|[,;:–-]|\s)+$', '') AS core FROM doc WHERE length(t) > 0
+    rtrim(CASE WHEN regexp_matches(t, '(…|\.\.\.)\]$') THEN rtrim(t, '[…].' || {BLANKS}) WHEN regexp_matches(t, '(…|\.\.\.)$') THEN rtrim(t, '….' || {BLANKS}) ELSE t END, ',;:–-' || chr(65533) || {BLANKS}) AS core
+  FROM doc WHERE length(t) > 0
 ), placed AS (
   SELECT k, unnest(range(1, len(k))) AS i FROM tok
 ), each AS (

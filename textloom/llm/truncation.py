@@ -22,7 +22,7 @@ SPACE = " \t\n\r\f\v\u00a0"
 #: What stands for a missing rest at the very end.
 STAND_INS = ("…", "...", "[…]", "[...]", "\ufffd")
 #: Such signs, and those that something has to follow, are no part of the last trigram.
-AFTER = r"(?:\[?(?:…|\.\.\.)\]?|\x{FFFD}|[,;:–-]|\s)+\z"
+BRACKETED, DOTS, SIGNS = "[…].", "….", ",;:–-\ufffd"
 #: Openers whose closer must follow later in the text: opener, what shows that it is closed.
 PAIRED = (("[[", "]]"), ("{{", "}}"), ("{|", "|}"), ("<!--", "-->"), ("\\begin{", "\\end{"))
 #: Elements that must be closed; those closed in themselves hold nothing.
@@ -91,7 +91,7 @@ def judged(
     hit), and ``rare_at_limit`` holds. List entries need no sentence end, so no
     trigram is asked for, but a word broken off counts in them, too. Null and
     empty texts are left out. Other columns are not read; equal texts are
-    judged alike. Runs a job when it is called, for the counts.
+    judged alike. Runs jobs when it is called, for the counts and the ends.
     """
     docs = documents.select(
         "doc_id", "source", F.rtrim("text", F.lit(SPACE)).alias("t"), F.col("text").endswith(" ").alias("blank"),
@@ -108,15 +108,9 @@ def judged(
     begins = begins.groupBy("last").agg(F.sum(F.when(F.col("on"), F.col("n")).otherwise(-broken * F.col("n"))).alias("lack"))
     begins = begins.filter("lack > 0").select("last", F.lit(True).alias("part"))
 
-    all_ = docs.groupBy("source").agg(F.count_distinct(F.xxhash64("t")).alias("of"))
-    limits = []
-    for k, under in (("chars", 0), ("bytes", 3)):
-        sizes = docs.select("source", k, F.xxhash64("t").alias("h")).distinct().groupBy("source", k).count()
-        found = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter((F.col("count") >= limit_least) & (F.col("count") >= F.lit(limit_share) * F.col("of")))
-        near = F.explode(F.sequence(F.col(k) - under, F.col(k))).alias(k)
-        limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), near, F.lit(True).alias(f"at_{k}")).distinct())
-
-    ends = docs.withColumns({"line": F.substring_index("t", "\n", -1), "para": F.substring_index("t", "\n\n", -1), "core": F.regexp_replace("t", AFTER, "")})
+    ends = docs.withColumns({"line": F.substring_index("t", "\n", -1), "para": F.substring_index("t", "\n\n", -1)})
+    ends = ends.withColumn("core", F.when(F.col("t").endswith("…]") | F.col("t").endswith("...]"), F.rtrim("t", F.lit(BRACKETED + SPACE))).when(F.col("t").endswith("…") | F.col("t").endswith("..."), F.rtrim("t", F.lit(DOTS + SPACE))).otherwise(F.col("t")))
+    ends = ends.withColumn("core", F.rtrim("core", F.lit(SIGNS + SPACE)))
     odd = [f"size(regexp_extract_all({x}, {quoted(p)}, 0)) % 2 = 1" for x, p in TWINS]
     unclosed = [f"(contains(t, {quoted(x)}) AND NOT contains(substring_index(t, {quoted(x)}, -1), {quoted(y)}))" for x, y in PAIRED]
     unclosed += [f"(contains(t, '<{x}') AND substring_index(t, '<{x}', -1) rlike '^(>|[ \\t]([^<>]*[^<>/])?>)' AND NOT contains(substring_index(t, '<{x}', -1), '</{x}'))" for x in ELEMENTS]
@@ -130,7 +124,15 @@ def judged(
         (F.col("line").rlike(DANGLING) | (F.col("blank") & F.col("line").rlike(LOOSE) & ~F.col("line").rlike(ENTRY))).alias("sign"),
         F.when(F.col("core").rlike(LOOSE), F.regexp_extract_all(F.substring_index("core", "\n", -1), F.lit(TOKEN), F.lit(0))).alias("k"),
     ).withColumns({"p": F.expr("try_element_at(k, -3)"), "q": F.expr("try_element_at(k, -2)"), "last": F.expr("try_element_at(k, -1)")})
-    shape = shape.selectExpr("*", *trigram("p", "q", "last")).drop("k", "p", "q")
+    # a short row for each document, so that texts are read here and for the counts only
+    shape = written(shape.selectExpr("*", *trigram("p", "q", "last")).drop("k", "p", "q"))
+    all_ = shape.groupBy("source").agg(F.count_distinct("h").alias("of"))
+    limits = []
+    for k, under in (("chars", 0), ("bytes", 3)):
+        sizes = shape.select("source", k, "h").distinct().groupBy("source", k).count()
+        found = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter((F.col("count") >= limit_least) & (F.col("count") >= F.lit(limit_share) * F.col("of")))
+        near = F.explode(F.sequence(F.col(k) - under, F.col(k))).alias(k)
+        limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), near, F.lit(True).alias(f"at_{k}")).distinct())
     # texts that end so without a stop, each different one once
     tails = shape.filter("own = 1").select("a", "b", "c", "h").distinct().groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("ends", F.col("n"))
     whole = tri.select("a", "b", "c", "n", "ends").unionByName(tails).groupBy("a", "b", "c").agg(*sums)
