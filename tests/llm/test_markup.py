@@ -1,4 +1,5 @@
 import time
+from collections import Counter
 
 import pytest
 
@@ -55,10 +56,46 @@ def test_clean_text():
 
 def test_table(spark):
     rows = [(1, "* a", "x"), (1, "* a", "x"), (2, None, "x"), (3, "", "x"), (None, "* b", "x")]
-    df = spark.createDataFrame(rows, "id long, text string, elements string")
-    got = sorted(((r.id or 0, r.clean_text, [e.content for e in r.elements]) for r in markup.cleaned(df).collect()))
-    assert got == [(0, "- b", ["b"]), (1, "- a", ["a"]), (1, "- a", ["a"]), (3, "", [])]
-    assert markup.cleaned(df.filter("false")).count() == 0
+    df = spark.createDataFrame(rows, "id long, text string, leaves string")
+    assert sorted((r.id or 0, r.clean_text) for r in markup.cleaned(df).collect()) == [(0, "- b"), (1, "- a"), (1, "- a"), (3, "")]
+    assert sorted((r.id or 0, r.kind, r.content) for r in markup.elements(df).collect()) == [(0, "item", "b"), (1, "item", "a"), (1, "item", "a")]
+    assert markup.cleaned(df.filter("false")).count() == 0 and markup.elements(df.filter("false")).count() == 0
+
+
+SENTENCE = "Der Ort liegt am Fluss, der im Jahr 1900 begradigt wurde, und ist alt. " * 3
+BIG_CODE = "<pre>\n" + "x = foo(1, 2); y = x.z\n" * 300 + "</pre>"
+BIG_TABLE = "{| class='x'\n" + "|-\n| Ort || 12 || 1900\n" * 200 + "|}"
+
+
+@pytest.mark.parametrize("extra", [BIG_CODE, BIG_TABLE, BIG_CODE + "\n" + BIG_TABLE, "<gallery>\n" + "a.png|b\n" * 500 + "</gallery>", "{{X\n" + "| a = 1\n" * 500 + "}}"])
+def test_one_large_leaf_does_not_tilt_the_choice(extra):
+    text = "\n\n".join([SENTENCE] * 10) + "\n" + extra
+    clean = markup.read(text)[0]
+    assert clean.count(SENTENCE.strip()) == 10
+    assert not any(x in clean for x in ("{|", "|-", "{{", ".png", "||")) and ("x = foo" in clean) == (BIG_CODE in extra)
+
+
+def test_paths_are_chosen_over_the_collection(spark):
+    """A record of nothing but a table has no running text to compare with; over the collection its path goes all the same."""
+    rows = [(i, f"{SENTENCE}\n\n== Lage ==\n* a\n\n{SENTENCE}\n[[Kategorie:X]]") for i in range(20)] + [(100, BIG_TABLE), (101, "{{Kasten\n| a = 1\n}}"), (102, SENTENCE)]
+    got = {r.id: r.clean_text for r in markup.cleaned(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got[100] == got[101] == "" and got[102] == SENTENCE.strip() and all("## Lage" in got[i] and "Kategorie" not in got[i] for i in range(20))
+    sums, beside, kinds = markup.paths(markup.leaves(spark.createDataFrame(rows, "id long, text string")))
+    by_hand: Counter = Counter()
+    for _, t in rows:
+        s, b = markup.ratios(markup.leaves_of(t))
+        by_hand.update(b)
+        for path, (n, size, marks) in s.items():
+            have = sums[path]
+            sums[path] = (have[0] - n, have[1] - size, have[2] - marks)
+    assert by_hand == beside and kinds == {"body/h2", "body/ul/li"}
+    assert all(n == 0 and abs(x) < 1e-6 and abs(y) < 1e-6 for n, x, y in sums.values())
+
+
+def test_paths_stay_few():
+    text = "<table>" + "".join(f"<ref>{{{{X|$a_{i}$}}}}</ref>" for i in range(50)) + "</table>"
+    assert all(p.count("/") < markup.DEPTH for p, _, _ in markup.leaves_of(text))
+    assert markup.clipped("body/table/ref/template/ul/li") == "body/template/ul/li"
 
 
 def test_long_text_takes_linear_time():

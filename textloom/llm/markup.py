@@ -2,17 +2,21 @@
 
 A text is read into leaves, each with its path of tags from the root (wiki,
 Markdown and LaTeX constructs count as the tags they stand for). Content is
-chosen by tag-path ratios: text length and punctuation are aggregated per
-path, smoothed along the leaves, fused by their product, and leaves under a
-share of the mean go. Headings, list items, code blocks and formulas are short
-or bare of punctuation by nature, so the threshold is for running text only.
+chosen by tag-path ratios: text length and punctuation are aggregated per path
+over the whole collection, smoothed with the paths that stand beside it, fused,
+and paths under a share of the running text's go. Logarithms are summed, so
+that no single large leaf tilts a path. Headings, list items, code blocks and
+formulas are short or bare of punctuation by nature, so their paths stay: the
+threshold is for all others.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Collection, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.staging import written
+
+#: Of the running text's fused ratio, what a path needs to be content.
+SHARE = 0.6
+
 HEADING, ITEM, CODE, FORMULA = "heading", "item", "code", "formula"
 
 #: Where something begins that is taken whole: comments, code, formulas, and things that are no running text. The first to begin holds.
@@ -102,7 +111,10 @@ MARKED = re.compile(r"[\[\]'*`<&\\{}_~\x02]")
 KEPT = re.compile("\x02(\\d+)\x03")
 #: The control characters that mark kept wholes; a text's own ones count as blanks.
 OWN = {2: " ", 3: " "}
-PUNCTUATION = re.compile(r"[.,;:!?]")
+#: Punctuation of running text: after a word, before a blank.
+PUNCTUATION = re.compile(r"(?<=[\w)\]\"'»“])[.,;:!?](?=\s|$)")
+#: Tags of a path that are told apart; of a longer one the first and the last count.
+DEPTH = 4
 
 #: Inline rewrites, in order.
 INLINE = (
@@ -248,23 +260,44 @@ class Reader:
                 self.leaf("body/p", None, self.inline(LEFTOVER.sub("", row), "${}$"))
 
 
-def content(leaves: list[tuple[str, str | None, str]], share: float) -> list[bool]:
-    """Whether each leaf is content, by tag-path ratios."""
-    if not leaves:
-        return []
-    totals: dict[str, list[int]] = {}
+def clipped(path: str) -> str:
+    """The path, of at most DEPTH tags: nesting in the texts does not make ever more paths."""
+    tags = path.split("/")
+    return path if len(tags) <= DEPTH else "/".join([tags[0], *tags[1 - DEPTH :]])
+
+
+Ratios = dict[str, tuple[int, float, float]]
+
+
+def ratios(leaves: Sequence[tuple[str, str | None, str]]) -> tuple[Ratios, Counter]:
+    """(leaves, sum of log length, sum of log punctuation) of each path, and how often each path stands beside another."""
+    sums: Ratios = {}
     for path, _, text in leaves:
-        t = totals.setdefault(path, [0, 0, 0])
-        t[0] += len(text)
-        t[1] += len(PUNCTUATION.findall(text)) + 1
-        t[2] += 1
-    if len(totals) == 1:
-        return [True] * len(leaves)
-    ratios = np.array([[totals[p][0] / totals[p][2], totals[p][1] / totals[p][2]] for p, _, _ in leaves])
-    padded = np.pad(ratios, ((1, 1), (0, 0)), "edge")
-    smooth = (padded[:-2] + 6 * ratios + padded[2:]) / 8
-    fused = smooth[:, 0] * smooth[:, 1]
-    return [kind is not None or f >= share * fused.mean() for (_, kind, _), f in zip(leaves, fused)]
+        n, size, marks = sums.get(path, (0, 0.0, 0.0))
+        sums[path] = n + 1, size + math.log1p(len(text)), marks + math.log1p(len(PUNCTUATION.findall(text)))
+    return sums, Counter(pair for (p, _, _), (q, _, _) in zip(leaves, leaves[1:]) for pair in ((p, q), (q, p)))
+
+
+def fused(sums: Ratios, beside: Counter) -> dict[str, float]:
+    """Each path's ratios, smoothed with those of the paths beside its leaves (eight parts its own, one for each side), multiplied."""
+    own = {p: np.array([size, marks]) / n for p, (n, size, marks) in sums.items()}
+    near = {p: 8 * own[p] * n for p, (n, _, _) in sums.items()}
+    weight = {p: 8.0 * n for p, (n, _, _) in sums.items()}
+    for (p, q), n in beside.items():
+        near[p] = near[p] + n * own[q]
+        weight[p] += n
+    return {p: float((x := near[p] / weight[p])[0] * math.exp(x[1])) for p in sums}
+
+
+def chosen(sums: Ratios, beside: Counter, kinds: Collection[str], share: float) -> set[str]:
+    """Paths of content: those with a kind, and of the others those whose fused ratio is at least ``share`` of that of the running text, the path in the middle when punctuation is counted out."""
+    value = fused(sums, beside)
+    rest = sorted((p for p in sums if p not in kinds), key=lambda p: (value[p], p))
+    marks = np.cumsum([sums[p][2] for p in rest])
+    if not len(marks) or marks[-1] == 0:
+        return set(sums)
+    least = share * value[rest[int(np.searchsorted(marks, marks[-1] / 2))]]
+    return {p for p in sums if p in kinds or value[p] >= least}
 
 
 def render(kind: str | None, text: str) -> str:
@@ -279,36 +312,91 @@ def render(kind: str | None, text: str) -> str:
     return text
 
 
-def read(text: str, share: float = 0.2) -> tuple[str, list[tuple[str, str, str]]]:
-    """The clean text, and its elements (path, kind, content) in order."""
-    leaves = Reader(text).leaves
-    chosen = [leaf for leaf, yes in zip(leaves, content(leaves, share)) if yes]
-    return "\n".join(render(k, t) for _, k, t in chosen).strip(), [(p, k, one_line(t)) for p, k, t in chosen if k]
+def leaves_of(text: str) -> list[tuple[str, str | None, str]]:
+    return [(clipped(p), k, t) for p, k, t in Reader(text).leaves]
 
 
-def cleaned(records: DataFrame, key: str = "id", text: str = "text", *, share: float = 0.2) -> DataFrame:
-    """(key, clean_text, elements array<struct<path, kind, content>>): every record whose text is not null.
+def read(text: str, share: float = SHARE) -> tuple[str, list[tuple[str, str, str]]]:
+    """The clean text, and its elements (path, kind, content) in order, of a text by itself."""
+    leaves = leaves_of(text)
+    keep = chosen(*ratios(leaves), {p for p, k, _ in leaves if k}, share)
+    there = [leaf for leaf in leaves if leaf[0] in keep]
+    return "\n".join(render(k, t) for _, k, t in there).strip(), [(p, k, one_line(t)) for p, k, t in there if k]
 
-    In the clean text headings, list items, code blocks and formulas keep a
-    mark of what they are; tables, templates, galleries, references, comments
-    and category links go unless their path's ratio says they are running
-    text. Elements: headings and items without inline markup, links as their
-    label, entities resolved; code and formulas as written. Those in tables,
-    templates, galleries and references count as well. Comments hold no
-    elements, nor do code blocks. An empty text gives an empty text and no
-    elements; equal rows come out alike. Records are worked on one by one.
-    """
+
+LEAF = pa.struct([("path", pa.string()), ("kind", pa.string()), ("content", pa.string()), ("size", pa.float64()), ("marks", pa.float64())])
+LEAVES = "array<struct<path:string,kind:string,content:string,size:double,marks:double>>"
+
+
+def leaves(records: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, leaves): every record whose text is not null, read into leaves (path, kind, content, size, marks); size and marks: logarithms of length and punctuation."""
     kind = records.schema[key].dataType.simpleString()
-    element = pa.struct([("path", pa.string()), ("kind", pa.string()), ("content", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [read(t, share) for t in batch.column(1).to_pylist()]
-            elements = [[{"path": p, "kind": k, "content": c} for p, k, c in e] for _, e in got]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t for t, _ in got], pa.string()), pa.array(elements, pa.list_(element))], ["key", "clean_text", "elements"]
-            )
+            out = [
+                [{"path": p, "kind": k, "content": t, "size": math.log1p(len(t)), "marks": math.log1p(len(PUNCTUATION.findall(t)))} for p, k, t in leaves_of(x)]
+                for x in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(LEAF))], ["key", "leaves"])
 
     rows = records.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, f"key {kind}, clean_text string, elements array<struct<path:string,kind:string,content:string>>")
-    return out.withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, leaves {LEAVES}").withColumnRenamed("key", key)
+
+
+def paths(read_in: DataFrame) -> tuple[Ratios, Counter, set[str]]:
+    """Sums per path over a collection, pairs of paths side by side, and the paths with a kind. A path has at most DEPTH tags of a fixed set, which bounds what comes to the driver."""
+    leaf = read_in.select(F.posexplode("leaves").alias("i", "l"), F.expr("leaves.path").alias("p"))
+    each = leaf.select("l.path", "l.kind", "l.size", "l.marks", F.expr("get(p, i - 1)").alias("before"))
+    sums: Ratios = {}
+    beside: Counter = Counter()
+    kinds = set()
+    for r in each.groupBy("path", "kind", "before").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum("marks").alias("marks")).collect():
+        n, size, marks = sums.get(r.path, (0, 0.0, 0.0))
+        sums[r.path] = n + r.n, size + r["size"], marks + r.marks
+        if r.kind:
+            kinds.add(r.path)
+        if r.before:
+            beside[r.path, r.before] += r.n
+            beside[r.before, r.path] += r.n
+    return sums, beside, kinds
+
+
+def content(records: DataFrame, key: str = "id", text: str = "text", *, share: float = SHARE) -> DataFrame:
+    """(key, leaves): the leaves of content of every record whose text is not null, by the ratios of their paths over all records.
+
+    An empty text gives no leaves; equal rows come out alike. Runs jobs when it is called: the leaves are written once and read for the ratios and the result.
+    """
+    there = written(leaves(records, key, text))
+    keep = sorted(chosen(*paths(there), share))
+    return there.select(key, F.filter("leaves", lambda x: x["path"].isin(keep)).alias("leaves"))
+
+
+def elements(records: DataFrame, key: str = "id", text: str = "text", *, share: float = SHARE) -> DataFrame:
+    """(key, path, kind, content): a row per heading, list item, code block and formula.
+
+    Headings and items without inline markup, links as their label, entities
+    resolved; code and formulas as written, in one line. Those in tables,
+    templates, galleries and references count as well. Comments hold no
+    elements, nor do code blocks.
+    """
+    each = content(records, key, text, share=share).select(key, F.explode("leaves").alias("l")).filter("l.kind IS NOT NULL")
+    return each.select(key, "l.path", "l.kind", F.trim(F.regexp_replace("l.content", r"(?U)\s+", " ")).alias("content"))
+
+
+def cleaned(records: DataFrame, key: str = "id", text: str = "text", *, share: float = SHARE) -> DataFrame:
+    """(key, clean_text): every record whose text is not null.
+
+    In the clean text headings, list items, code blocks and formulas keep a
+    mark of what they are; tables, templates, galleries, references, comments
+    and category links go unless the ratio of their path says they are running
+    text. An empty text gives an empty text.
+    """
+
+    def shown(x):
+        mark = lambda form: F.format_string(form, x["content"])
+        kind = lambda k: x["kind"] == k
+        return F.when(kind(HEADING), mark("\n## %s\n")).when(kind(ITEM), mark("- %s")).when(kind(CODE), mark("```\n%s\n```")).when(kind(FORMULA), mark("$$%s$$")).otherwise(x["content"])
+
+    out = content(records, key, text, share=share)
+    return out.select(key, F.btrim(F.array_join(F.transform("leaves", shown), "\n"), F.lit(" \t\n\r\f\v")).alias("clean_text"))

@@ -16,11 +16,11 @@ def article_texts(spark, folder):
 
 
 def p2_clean(spark, folder):
-    return markup.cleaned(article_texts(spark, folder)).select("id", "clean_text")
+    return markup.cleaned(article_texts(spark, folder))
 
 
 def p2_found(spark, folder):
-    return markup.cleaned(article_texts(spark, folder)).select("id", F.explode("elements").alias("e")).select("id", "e.kind", "e.content").distinct()
+    return markup.elements(article_texts(spark, folder)).select("id", "kind", "content").distinct()
 
 
 def buckets(spark):
