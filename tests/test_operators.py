@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import pages, skew
+from textloom.operators import pages, sizing, skew
 
 
 def rows(df):
@@ -74,3 +74,16 @@ def test_heavy_pairs(skewed, spark):
 def test_heavy_pairs_move_no_row_twice(skewed):
     plan = skew.heavy_pairs(skewed[1], "k", "v", "0.02")._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_partitions_follow_the_size(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(200_000).selectExpr("id", "sha2(cast(id as string), 256) AS text").repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    size = sizing.input_bytes(df)
+    assert size == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert sizing.input_bytes(df.select("id").filter("id > 5")) == size and sizing.input_bytes(spark.createDataFrame([(1,)], "a int")) is None
+    assert sizing.partitions(df) == 4  # the session's, as one partition would do
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    assert sizing.partitions(df) == -(-size // (1 << 19))
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")

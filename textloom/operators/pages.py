@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.sizing import partitions
+
 
 def latest_rows(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
     """One row per key: the first by ``newest_first``.
@@ -39,19 +41,19 @@ def current(page: DataFrame, **columns: Column) -> DataFrame:
     return latest_rows(rows, ["id"], [F.desc_nulls_last("_rev"), F.asc_nulls_last("_at")]).drop("_rev", "_at")
 
 
-def bucketed(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """Adds ``_bucket``, a hash of the key in 0..n-1, and partitions by it."""
-    return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition("_bucket")
+def bucketed(rows: DataFrame, key: str, n: int, buckets: int = 1) -> DataFrame:
+    """Adds ``_bucket``, a hash of the key, and partitions by it: n partitions of about so many buckets each."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n * buckets)).cast("int")).repartition(n, "_bucket")
 
 
-def article_buckets(page: DataFrame, n: int) -> DataFrame:
-    """(_bucket, id, text) of the articles, moved once: the shuffle by bucket also brings the states of a page together."""
+def article_buckets(page: DataFrame, buckets: int = 4) -> DataFrame:
+    """(_bucket, id, text) of the articles, moved once: the shuffle by bucket also brings the states of a page together. The number of partitions follows the size of the table."""
     flag = article_flag()
     rows = page.filter(F.col("id").isNotNull()).select(
         "id", F.col("revision.id").alias("_rev"), F.col("loaded_at").alias("_at"), flag.alias("_ok"), F.when(flag, F.col("text")).alias("text")
     )
     newest = [F.desc_nulls_last("_rev"), F.asc_nulls_last("_at")]
-    return latest_rows(bucketed(rows, "id", n), ["_bucket", "id"], newest).filter("_ok").select("_bucket", "id", "text")
+    return latest_rows(bucketed(rows, "id", partitions(page), buckets), ["_bucket", "id"], newest).filter("_ok").select("_bucket", "id", "text")
 
 
 def articles(page: DataFrame, **columns: Column) -> DataFrame:
