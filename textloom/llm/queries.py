@@ -23,13 +23,8 @@ def p2_found(spark, folder):
     return markup.elements(article_texts(spark, folder)).select("id", "kind", "content").distinct()
 
 
-def buckets(spark):
-    """Eight to a shuffle partition: small enough to score one in memory, large enough that words repeat in it."""
-    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def p3_terms(spark, folder, by="z"):
-    return distinctive.distinctive(pages.article_buckets(table(spark, folder, "page"), buckets(spark)), by=by)
+    return distinctive.distinctive(pages.article_buckets(table(spark, folder, "page")), by=by)
 
 
 def p3_log_odds(spark, folder):
