@@ -3,6 +3,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -32,3 +33,18 @@ def page(spark):
         return spark.createDataFrame(out, PAGE)
 
     return make
+
+
+@pytest.fixture
+def no_skew_join(spark):
+    """Without the engine's own help against skew."""
+    off = {"spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    yield
+    for k in off:
+        spark.conf.unset(k)
+
+
+def largest_partition(df):
+    return max(r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import largest_partition
 from textloom.operators import pages, sizing, skew
 
 
@@ -87,3 +88,22 @@ def test_partitions_follow_the_size(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     assert sizing.partitions(df) == -(-size // (1 << 19))
     spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_of_a_hot_key(spark, no_skew_join, how):
+    """A third of all rows have one key, and as many null; no task takes a third."""
+    data = [(0 if i % 3 == 0 else None if i % 3 == 1 else i, i) for i in range(9000)]
+    rows = spark.createDataFrame(data, "k int, v int").repartition(8)
+    side = {None: "null", 0: "null und eins", **{i: str(i) for i in range(5, 9000, 2)}}
+    out = skew.spread_join(rows, spark.createDataFrame(list(side.items()), "k int, x string"), ["k"], how)
+    want = [(k, v, side.get(k)) for k, v in data if how == "left" or k in side]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert largest_partition(out) < 2000
+    assert skew.spread_join(rows.filter("false"), rows.select("k").filter("false").withColumn("x", F.lit(1)), ["k"], how).count() == 0
+
+
+def test_percentiles_of_a_hot_key_stay_spread(spark, no_skew_join):
+    rows = spark.createDataFrame([("heiß" if i % 3 == 0 else f"k{i}", i) for i in range(9000)], "k string, v int")
+    got = {(r.k, r.p): r.v for r in skew.key_percentiles(skew.compress(rows, "k", "v"), "k", "v", [0.5, 1.0]).collect()}
+    assert got["heiß", 0.5] == 4497 and got["heiß", 1.0] == 8997 and got["k1", 0.5] == 1

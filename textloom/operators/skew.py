@@ -9,6 +9,8 @@ derived from the weighted values, again through partial aggregates.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,37 @@ def key_summary(pairs: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def heavy_keys(rows: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """(keys): the keys that hold at least a ``parts``-th of all rows (by default four times the shuffle partitions), so at most so many.
+
+    Counted by hash in each task first; null is a key like others.
+    """
+    parts = parts or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") * parts >= counts.agg(F.sum("_rows")).scalar()).select(*keys)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", parts: int | None = None) -> DataFrame:
+    """``rows`` joined to ``side``, which has at most one row per key, without bringing a heavy key to one task.
+
+    Rows of heavy keys (see ``heavy_keys``: at most ``parts`` of them) stay
+    where they are and meet their rows of ``side``, which are broadcast; all
+    others are shuffled, and none of these keys fills a partition. Keys equal
+    by ``<=>``, so null joins null. Both inputs are read twice: give tables, or
+    what is cheap to work out. ``how``: inner or left. Columns: those of
+    ``rows``, then those of ``side`` beside the keys, whose names must differ.
+    """
+    heavy = F.broadcast(heavy_keys(rows, keys, parts))
+    renamed = side.select(*(F.col(k).alias(f"_side_{k}") for k in keys), *(c for c in side.columns if c not in keys))
+    same = lambda a, b, form: reduce(and_, (a[k].eqNullSafe(b[form.format(k)]) for k in keys))
+    out = [c for c in rows.columns] + [c for c in side.columns if c not in keys]
+    marked = heavy.select(*(F.col(k).alias(f"_heavy_{k}") for k in keys))
+    light = rows.join(F.broadcast(marked), same(rows, marked, "_heavy_{}"), "left_anti")
+    few = renamed.join(F.broadcast(marked), reduce(and_, (renamed[f"_side_{k}"].eqNullSafe(marked[f"_heavy_{k}"]) for k in keys)), "left_semi")
+    hot = rows.join(F.broadcast(marked), same(rows, marked, "_heavy_{}"), "left_semi")
+    return light.join(renamed, same(light, renamed, "_side_{}"), how).select(*out).unionByName(hot.join(F.broadcast(few), same(hot, few, "_side_{}"), how).select(*out))
+
+
 def key_percentiles(pairs: DataFrame, key: str, value: str, at: list[float], *, splits: int = 256) -> DataFrame:
     """(key, p, value): exact lower percentiles of each key, from weighted values; null values don't count.
 
@@ -45,12 +78,9 @@ def key_percentiles(pairs: DataFrame, key: str, value: str, at: list[float], *,
     stays in, so the result is exact whatever the quantiles' error.
     """
     rows = pairs.filter(F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col("weight").alias("_w"))
-    cuts = rows.groupBy(F.col("_k").alias("_k2")).agg(
-        F.percentile_approx("_v", [i / splits for i in range(1, splits)], splits * 40).alias("_cuts"), F.sum("_w").alias("_n")
-    )
-    ranged = rows.join(cuts, F.col("_k").eqNullSafe(F.col("_k2"))).select(
-        "_k", "_v", "_w", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
-    )
+    cuts = rows.groupBy("_k").agg(F.percentile_approx("_v", [i / splits for i in range(1, splits)], splits * 40).alias("_cuts"), F.sum("_w").alias("_n"))
+    least = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = spread_join(rows, cuts, ["_k"], parts=least).select("_k", "_v", "_w", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
     sums = ranged.groupBy(F.col("_k").alias("_k2"), F.col("_range").alias("_range2")).agg(F.sum("_w").alias("_sum"))
     w = Window.partitionBy("_k2").orderBy("_range2")
     before = sums.select("_k2", "_range2", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"))
