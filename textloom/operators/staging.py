@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: str | None = None
 
@@ -26,16 +27,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and read back from the shared folder. The files go when the session's JVM ends."""
+    """The rows of df, computed once and read back from the shared folder. The files go when the session's JVM ends.
+
+    ``counted`` tells their number without another job.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     _fs(spark, path)[0].deleteOnExit(_fs(spark, path)[1])
     out = spark.read.schema(df.schema).parquet(path)
-    out._stage = path
+    out._stage, out._seen = path, seen
     return out
 
 
+def counted(df: DataFrame) -> int:
+    """Rows of what ``written`` wrote."""
+    return df._seen.get["n"]
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` wrote; nothing may read it later."""
     fs, path = _fs(df.sparkSession, df._stage)
