@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import largest_partition
 from pyspark.sql import functions as F
 
 from textloom.llm import components, fmindex, leakage, mixing, nearduplicates, superminhash, titles
@@ -60,7 +61,7 @@ def test_pairs(near):
 def test_candidates_of_a_hot_band(spark, monkeypatch):
     monkeypatch.setattr(nearduplicates, "HOT", 4)
     bands = {1: range(30), 2: [5, 6], 3: [7], 4: [40, 41, 42, 43, 44]}
-    rows = spark.createDataFrame([(b, i) for b, ids in bands.items() for i in ids], "band long, id long")
+    rows = spark.createDataFrame([(b, i, 9) for b, ids in bands.items() for i in ids], "band long, id long, n int")
     got = sorted(map(tuple, nearduplicates.candidates(rows).collect()))
     assert got == sorted({(i, j) for ids in bands.values() for i in ids for j in ids if i < j})
 
@@ -242,3 +243,26 @@ def test_mix(spark, monkeypatch):
     assert {r.source: r.copies for r in short.collect()}["klein"] == 4 * 60
     empty, none = mixing.mix(df.filter("false"), targets)
     assert empty.count() == 0 and {r.share for r in none.collect()} == {0.0}
+
+
+def test_hot_keys_stay_spread(spark, no_skew_join, monkeypatch, page):
+    """A third of all records are copies of one text, a third of all pages bear one title, a component has a third of all vertices."""
+    monkeypatch.setattr(nearduplicates, "HOT", 20)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(160)]
+    texts += [texts[0]] * 80 + [texts[0] + " ende"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = nearduplicates.classes(df).cache()
+    assert {r.id: r.rep for r in members.collect()} == {i: texts.index(t) for i, t in enumerate(texts)}
+    got = {tuple(r) for r in nearduplicates.expand(nearduplicates.alike(df, width=3, least=0.6), members).collect()}
+    hot = {i for i, t in enumerate(texts) if t.startswith(texts[0])}
+    assert got == {(i, j) for i in hot for j in hot if i < j}
+
+    star = [(0, i) for i in range(1, 2000)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(2000)]
+    found = components.components(spark.createDataFrame(star, "u long, v long").repartition(8))
+    assert largest_partition(found) < 1900 and {r.vertex: r.component for r in found.collect()} == least_linked(star)
+
+    pages = [(f"T{i}" if i % 3 else "Eins", 0, i, None, 1, "x") for i in range(1500)]
+    tied = titles.title_groups(page(pages))
+    assert largest_partition(tied) < 400 and {(r.id, r.group_id) for r in tied.collect()} == {(i, 0) for i in range(0, 1500, 3)}

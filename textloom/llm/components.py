@@ -10,16 +10,21 @@ heads by a random bit and the others join a head beside them. Then labels are
 restored by pointer doubling from removed vertices to kept ones.
 
 A vertex is only ever judged by aggregates of fixed size over its edges, and
-edges are struck by grouping on the pair, so a vertex with a third of all
-edges is spread like any other.
+edges are struck by grouping on the pair; where rows take over a label, those
+of a heavy vertex or root stay where they are and the label comes to them
+(``skew.spread_join``). So a vertex with a third of all edges, or a component
+with a third of all vertices, is spread like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.staging import discard, written
+from textloom.operators.skew import spread_join
+from textloom.operators.staging import counted, discard, written
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -57,12 +62,10 @@ def joined(edges: DataFrame, seed: int) -> DataFrame:
     return edges.filter(~head("u") & head("v")).groupBy("u").agg(F.min("v").alias("p"))
 
 
-def contracted(edges: DataFrame, removed: DataFrame) -> DataFrame:
-    """The edges with each removed vertex replaced by the one it joined."""
-    to = removed.select(F.col("u").alias("x"), "p")
-    e = edges.join(to, edges["u"] == to["x"], "left").select(F.coalesce("p", "u").alias("u"), "v")
-    e = e.join(to, e["v"] == to["x"], "left").select("u", F.coalesce("p", "v").alias("v"))
-    return e.filter("u <> v").distinct()
+def renamed(edges: DataFrame, removed: DataFrame, end: str) -> DataFrame:
+    """The edges with each removed vertex at one end replaced by the one it joined."""
+    to = removed.select(F.col("u").alias(end), F.col("p").alias("to"))
+    return spread_join(edges, to, [end], "left").withColumn(end, F.coalesce("to", end)).select("u", "v")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -74,28 +77,33 @@ def components(pairs: DataFrame) -> DataFrame:
     table per round in the shared folder.
     """
     edges = written(both_ways(pairs.select("u", "v")))
-    first, forest, seed = edges, None, 0
-    while not edges.isEmpty():
+    if not counted(edges):
+        return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    gone, seed = [], 0
+    while counted(edges):
         seed += 1
         removed = written(stripped(edges, seed))
-        if removed.isEmpty():
-            removed = written(joined(edges, seed))
-            smaller = written(contracted(edges, removed))
-        else:
+        if counted(removed):
             smaller = written(without(edges, removed))
-        points = removed.select(F.col("u").alias("vertex"), F.col("p").alias("root"))
-        forest = points if forest is None else forest.unionAll(points)
-        if edges is not first:
-            discard(edges)
+        else:
+            removed = written(joined(edges, seed))
+            half = written(renamed(edges, removed, "u"))
+            smaller = written(renamed(half, removed, "v").filter("u <> v").distinct())
+            discard(half)
+        gone.append(removed)
+        discard(edges)
         edges = smaller
-    if forest is None:
-        return first.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    forest = written(reduce(DataFrame.unionAll, (r.select(F.col("u").alias("vertex"), F.col("p").alias("root")) for r in gone)))
+    for r in gone:
+        discard(r)
     steps = 1
     while steps < seed:  # a path to a root has at most one step per round
-        up = forest.select(F.col("vertex").alias("x"), F.col("root").alias("y"))
-        forest = written(forest.join(up, forest["root"] == up["x"], "left").select("vertex", F.coalesce("y", "root").alias("root")))
+        up = forest.select(F.col("vertex").alias("root"), F.col("root").alias("up"))
+        higher = written(spread_join(forest, up, ["root"], "left").select("vertex", F.coalesce("up", "root").alias("root")))
+        discard(forest)
+        forest = higher
         steps *= 2
-    roots = forest.select("root").distinct()
-    trees = forest.unionAll(roots.select(F.col("root").alias("vertex"), "root"))
-    least = trees.groupBy("root").agg(F.min("vertex").alias("component"))
-    return trees.join(least, "root").select("vertex", "component")
+    # a root is the vertex of no row; it stands for itself
+    trees = forest.unionAll(forest.select("root").distinct().select(F.col("root").alias("vertex"), "root"))
+    least = forest.groupBy("root").agg(F.min("vertex").alias("low")).select("root", F.least("low", "root").alias("component"))
+    return spread_join(trees, least, ["root"]).select("vertex", "component")

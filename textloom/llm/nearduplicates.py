@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from textloom.llm import components
 from textloom.llm.superminhash import STEP, bands, mix, signatures
 from textloom.llm.words import WORD
+from textloom.operators.skew import spread_join
+from textloom.operators.staging import written
 
 #: Shingles worked on at once, and words whose hashes a task remembers.
 CHUNK, KNOWN = 200_000, 1_000_000
-#: Records of a band that meet in one slice of it; places over which a band is spread.
+#: Records of a band, or copies of a text, that meet in one slice of it; places over which a band is spread at least.
 HOT, SPREAD = 1000, 16
 
 
@@ -29,7 +31,7 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def band_rows(width: int, n_bands: int, rows: int):
-    """(id, text) to (band, id), a row per band; records without a single run of ``width`` words give none."""
+    """(id, text) to (band, id, n), a row per band, n: its different runs; records without a single run of ``width`` words give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -43,7 +45,8 @@ def band_rows(width: int, n_bands: int, rows: int):
                 sizes = [len(s) for s in sets]
                 table = signatures(np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), len(ids), n_bands * rows)
                 out = bands(table, n_bands).view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.repeat(np.array(ids, np.int64), n_bands))], ["band", "id"])
+                each = [np.repeat(np.array(x), n_bands) for x in (np.array(ids, np.int64), np.array(sizes, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(out), *map(pa.array, each)], ["band", "id", "n"])
 
         ids, sets, size = [], [], 0
         for batch in batches:
@@ -52,14 +55,12 @@ def band_rows(width: int, n_bands: int, rows: int):
                     known.clear()
                 ws = WORD.findall(text.lower())
                 hashes = np.array([known.get(w) or of(w) for w in ws], np.uint64)
-                s = shingle_hashes(hashes, width)
+                s = np.unique(shingle_hashes(hashes, width))
                 if not len(s):
                     continue
                 if size + len(s) > CHUNK:
                     yield from emit(ids, sets)
                     ids, sets, size = [], [], 0
-                if len(s) > CHUNK // 4:
-                    s = np.unique(s)
                 ids.append(i)
                 sets.append(s)
                 size += len(s)
@@ -103,35 +104,58 @@ def has_run(width: int) -> Column:
     return F.col("text").rlike(f"(?:{word}{gap}){{{width - 1}}}{word}")
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """(id, text, f0, f1): the records with a text and their fingerprints, written once for all that follows."""
+    return written(records.filter(F.length("text") > 0).select("id", "text", *fingerprint()))
+
+
 def classes(records: DataFrame) -> DataFrame:
     """(id, rep): of every record the least id among those with the same text but for case."""
-    prints = records.select("id", *fingerprint())
+    return same(written(records.select("id", *fingerprint())))
+
+
+def same(prints: DataFrame) -> DataFrame:
+    """``classes`` of rows (id, f0, f1)."""
     reps = prints.groupBy("f0", "f1").agg(F.min("id").alias("rep"))
-    return prints.join(reps, ["f0", "f1"]).select("id", "rep")
+    return spread_join(prints, reps, ["f0", "f1"]).select("id", "rep")
+
+
+def places(df: DataFrame) -> int:
+    """Over how many places a band is spread: so many that a third of all records, at 64 bands each, takes no more room in one than an average shuffle partition."""
+    return max(SPREAD, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 192))
+
+
+def slices(n: str) -> Column:
+    return F.ceil(F.col(n) / HOT).cast("int")
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: ids that share a band, of rows (band, id).
+def slice_of(i: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(i), slices(n)).cast("int")
 
-    Rows move once, by band and a hash of the id in 0..SPREAD-1, so that a
-    band with a third of all records is spread. Bands are counted there and
-    summed up, and those of one record, nearly all, are out before the join. A
-    band of more than HOT records is cut into slices of about HOT: each record
-    lies in its slice on the left and meets all slices on the right, so no
-    task takes more than HOT records of a band against the band, and no pair
-    is lost.
+
+def candidates(bands: DataFrame, least: float = 0.0) -> DataFrame:
+    """(a, b), a < b, distinct: ids that share a band, of rows (band, id, n), but for those whose numbers n of runs alone keep the similarity under ``least``.
+
+    Rows move once, by band and a hash of the id, so that a band with a third
+    of all records is spread (see ``places``). Bands are counted there and
+    summed up, and those of one record, nearly all, are out before the join; the
+    rest is written. A band of more than HOT records is cut into slices of
+    about HOT: each record lies in its slice on the left and meets all slices
+    on the right, so no task takes more than HOT records of a band against the
+    band, and no pair is lost.
     """
-    place = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(SPREAD)), F.lit(0)).cast("int")
-    spread = bands.filter("band IS NOT NULL AND id IS NOT NULL").withColumn("s", place).repartition("band", "s")
+    spread = places(bands)
+    place = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(spread)), F.lit(0)).cast("int")
+    rows = bands.filter("band IS NOT NULL AND id IS NOT NULL").withColumn("s", place).repartition("band", "s")
     # the count looks at the ids, as the join does, so that both uses read the same and the shuffle and what lies before it run once
-    parts = spread.groupBy("band", "s").agg(F.count_if(F.col("id") >= F.lit(-(1 << 63))).alias("n"))
-    several = parts.groupBy("band").agg(F.sum("n").alias("n")).filter("n > 1")
-    everywhere = several.select("band", "n", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("s"))
-    shared = spread.join(everywhere, ["band", "s"])
-    slices = F.ceil(F.col("n") / HOT).cast("int")
-    a = shared.select("band", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), F.col("id").alias("a"))
-    b = shared.select("band", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("id").alias("b"))
-    return a.join(b, ["band", "slice"]).filter("a < b").select("a", "b").distinct()
+    parts = rows.groupBy("band", "s").agg(F.count_if((F.col("id") >= F.lit(-(1 << 63))) & (F.col("n") >= 0)).alias("m"))
+    several = parts.groupBy("band").agg(F.sum("m").alias("m")).filter("m > 1")
+    everywhere = several.select("band", "m", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
+    shared = written(rows.join(everywhere, ["band", "s"]).select("band", "id", "n", "m"))
+    a = shared.select("band", slice_of("id", "m").alias("slice"), F.col("id").alias("a"), F.col("n").alias("n_a"))
+    b = shared.select("band", F.explode(F.sequence(F.lit(0), slices("m") - 1)).alias("slice"), F.col("id").alias("b"), F.col("n").alias("n_b"))
+    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(least - 1e-9) * F.greatest("n_a", "n_b"))
+    return a.join(b, ["band", "slice"]).filter(near).select("a", "b").distinct()
 
 
 def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: int = 64, rows: int = 4) -> DataFrame:
@@ -145,10 +169,14 @@ def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: in
     (1 - s^rows)^n_bands, under 0.015 % at 0.6. Every candidate is verified
     on the words themselves.
     """
-    texts = records.filter(F.length("text") > 0).select("id", "text")
-    reps = texts.groupBy(*fingerprint()).agg(F.min("id").alias("id")).select("id")
-    bands = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long")
-    pairs = candidates(bands)
+    return alike_of(prepared(records), width=width, least=least, n_bands=n_bands, rows=rows)
+
+
+def alike_of(texts: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: int = 64, rows: int = 4) -> DataFrame:
+    """``alike`` of records that are ``prepared``."""
+    reps = texts.groupBy("f0", "f1").agg(F.min("id").alias("id")).select("id")
+    bands = texts.select("id", "text").join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long, n int")
+    pairs = candidates(bands, least)
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify(width, least), "a long, b long, similarity double")
@@ -157,18 +185,39 @@ def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: in
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the pairs of representatives for all their copies, and the copies of one text among themselves.
 
-    ``members``: ``classes`` of the records with enough words to be alike (see ``has_run``).
+    ``members``: ``classes`` of the records with enough words to be alike (see
+    ``has_run``). A text of more than HOT copies is cut into slices of about
+    HOT, and each of its pairs goes to all of these, so no task takes more than
+    HOT copies against the others.
     """
-    x, y = (members.select(F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("a", "i"), ("b", "j")))
-    across = pairs.select("a", "b").join(x, "a").join(y, "b").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
-    copies = x.join(y, x["a"] == y["b"]).filter("i < j").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
-    return across.unionAll(copies)
+    copied = written(members.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    # records without copies stand for themselves and are in no join
+    several = written(spread_join(members, copied, ["rep"]))
+    sides = several.select("rep", slice_of("id", "m").alias("slice"), "id")
+
+    def swapped(rows: DataFrame, end: str) -> DataFrame:
+        sized = spread_join(rows, copied.withColumnRenamed("rep", end), [end], "left")
+        alone = sized.filter("m IS NULL").drop("m")
+        sliced = sized.filter("m IS NOT NULL").withColumn("slice", F.explode(F.sequence(F.lit(0), slices("m") - 1))).drop("m")
+        of = sides.select(F.col("rep").alias(end), "slice", F.col("id").alias("i"))
+        return alone.unionByName(sliced.join(of, [end, "slice"]).withColumn(end, F.col("i")).drop("i", "slice"))
+
+    across = swapped(written(swapped(written(pairs.select("a", "b")), "a")), "b")
+    x = several.select("rep", F.explode(F.sequence(F.lit(0), slices("m") - 1)).alias("slice"), F.col("id").alias("i"))
+    copies = x.join(sides.withColumnRenamed("id", "j"), ["rep", "slice"]).filter("i < j")
+    return across.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).unionAll(copies.select(F.col("i").alias("id_a"), F.col("j").alias("id_b")))
 
 
 def groups(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, group_id, n_links): ``linked`` of the records with a text."""
+    return linked(classes(records.filter(F.length("text") > 0)), pairs)
+
+
+def linked(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, group_id, n_links): every record with the least id of its group and its number of similar other texts. Copies are not expanded."""
-    members = classes(records.filter(F.length("text") > 0))
-    linked = components.components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members, pairs = written(members), written(pairs.select("a", "b"))
+    tied = components.components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(linked.select(F.col("vertex").alias("rep"), "component"), "rep", "left").join(links, "rep", "left")
+    of = written(links.join(tied.withColumnRenamed("vertex", "rep"), "rep"))
+    out = spread_join(members, of, ["rep"], "left")
     return out.select("id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -44,13 +44,14 @@ def p4_pairs(spark, folder):
 
 
 def p4_found(spark, folder):
-    members = nearduplicates.classes(titled_texts(spark, folder).filter(nearduplicates.has_run(3)))
-    return nearduplicates.expand(p4_pairs(spark, folder), members)
+    texts = nearduplicates.prepared(titled_texts(spark, folder))
+    members = nearduplicates.same(written(texts.filter(nearduplicates.has_run(3)).select("id", "f0", "f1")))
+    return nearduplicates.expand(nearduplicates.alike_of(texts, width=3, least=0.6), members)
 
 
 def p4_groups(spark, folder):
-    texts = titled_texts(spark, folder)
-    return nearduplicates.groups(texts, written(nearduplicates.alike(texts)))
+    texts = nearduplicates.prepared(titled_texts(spark, folder))
+    return nearduplicates.linked(nearduplicates.same(texts.select("id", "f0", "f1")), nearduplicates.alike_of(texts))
 
 
 def p5_found(spark, folder):
