@@ -1,6 +1,7 @@
 """Analysis of German text as column expressions: words, stop words, spelling, two stemmers.
 
-Words are runs of letters and digits. Spelling and stemming are meant to be
+Words follow UAX#29: runs of letters, digits and underscores, which also hold
+a sign between two letters (``can't``, ``d.h``) or two digits (``3,14``). Spelling and stemming are meant to be
 evaluated once per distinct word (see ``operators.index.stems``), not once per
 token.
 """
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.bind import let
 
-WORD = r"[\p{L}\p{N}]+"
+#: Fixed values of UAX#29: signs that join letters, signs that join digits.
+WORD = r"(?:\p{L}[\p{L}\p{M}]*(?:[.:'’·]\p{L}[\p{L}\p{M}]*)*|\p{N}+(?:[.,;'’]\p{N}+)*|_)+"
 
 #: Fixed values of light stemming: letters that may stand before a final s or st.
 ENDING = "bdfghklmnt"

@@ -16,7 +16,7 @@ EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
 #: ``[[target]]``, ``[[target|label]]``, each with an optional ``#section``.
 WIKI_LINK = r"\[\[([^:#|\]]+)(?:#[^|\]]*)?(?:\|[^\]]*)?\]\]"
 
-#: External link to an article of the German wiki.
+#: Fixed value: external link to an article of the German wiki.
 URL_LINK = r"\[http://de\.wikipedia\.org/wiki/([^ :#\]]+)[^\]]*\]"
 
 #: The ordered rewrites that turn wiki text into plain text, (pattern, replacement).

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import analyzer, wikitext
+from textloom.operators.skew import salted_join
 
 PARTS = ("documents", "postings", "vocabulary", "links", "stats")
 
@@ -72,11 +73,10 @@ def postings(docs: DataFrame, analysis: Analysis) -> DataFrame:
 
     Positions are gathered per word and document first, so that what is joined
     to the stems and moved on by term is a row per pair, not per token. A
-    common word's rows differ in document, hence spread; its stem is one row,
-    which the join broadcasts or splits by itself.
+    common word's rows are joined in places by document, so it is spread.
     """
     occurring = words(docs, analysis).groupBy("word", "doc_id").agg(F.collect_list("pos").alias("p"))
-    by_term = occurring.join(stems(occurring, analysis), "word").groupBy("term", "doc_id")
+    by_term = salted_join(occurring, stems(occurring, analysis), "word", "doc_id").groupBy("term", "doc_id")
     lists = by_term.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("p")))).alias("positions"))
     return lists.select("term", "doc_id", "positions", F.size("positions").alias("tf"))
 
@@ -124,13 +124,19 @@ def build(rows: DataFrame, analysis: Analysis, *, wiki: bool = True) -> Index:
 
 
 def save(index: Index, folder: str) -> None:
-    """Writes all tables. Postings lie in term order, so a query reads the row groups of its terms only; a term that is everywhere spans several files. The vocabulary is counted from what was written."""
-    index.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    written = index.spark.read.parquet(f"{folder}/postings")
-    vocabulary(written).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    index.links.repartitionByRange("target_norm", "source_doc_id").sortWithinPartitions("target_norm", "source_doc_id").write.mode("overwrite").parquet(f"{folder}/links")
-    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    """Writes all tables; the pages are read, deduplicated and cleaned once, as the others are made from the written documents.
+
+    Documents lie in the order of their ids and postings in that of terms, so a
+    query reads the row groups of its terms and of the documents it shows only;
+    a term that is everywhere spans several files.
+    """
+    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/documents")
+    docs = index.spark.read.parquet(f"{folder}/documents")
+    postings(docs, index.analysis).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    lists = index.spark.read.parquet(f"{folder}/postings")
+    vocabulary(lists).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocabulary")
+    links(docs).repartitionByRange("target_norm", "source_doc_id").sortWithinPartitions("target_norm", "source_doc_id").write.mode("overwrite").parquet(f"{folder}/links")
+    stats(docs).write.mode("overwrite").parquet(f"{folder}/stats")
 
 
 def exists(spark: SparkSession, folder: str) -> bool:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import DEFAULTS, Settings
 from textloom.operators.index import Index
+from textloom.operators.skew import salted_join
 
 SCORE_DIGITS = 9
 
@@ -19,6 +20,11 @@ def weight(n_docs: Column, df: Column, tf: Column, qf: Column, s: Settings = DEF
     return idf * ((s.k1 + 1) * tf) / (s.k1 * (1 - s.b) + tf) * ((s.k2 + 1) * qf) / (s.k2 + qf)
 
 
+def ranking_terms(vocabulary: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(term, df) of the terms that count: those in no more than ``max_df`` documents."""
+    return vocabulary.filter(F.col("df") <= settings.max_df).select("term", "df")
+
+
 def scores(postings: DataFrame, vocabulary: DataFrame, stats: DataFrame, terms: Counter, settings: Settings = DEFAULTS) -> DataFrame:
     """(doc_id, score) of every document with a query term. Terms in more than ``max_df`` documents are left out.
 
@@ -30,7 +36,7 @@ def scores(postings: DataFrame, vocabulary: DataFrame, stats: DataFrame, terms:
         return spark.createDataFrame([], "doc_id long, score double")
     asked = F.col("term").isin(list(terms))
     q = spark.createDataFrame(sorted(terms.items()), "term string, qf int")
-    known = F.broadcast(vocabulary.filter(asked & (F.col("df") <= settings.max_df)).select("term", "df").join(F.broadcast(q), "term"))  # a row per query term
+    known = F.broadcast(ranking_terms(vocabulary, settings).filter(asked).join(F.broadcast(q), "term"))  # a row per query term
     hits = postings.filter(asked).select("term", "doc_id", "tf").join(known, "term")
     n = stats.select("n_docs").scalar()
     each = hits.select("doc_id", weight(n, F.col("df"), F.col("tf"), F.col("qf"), settings).alias("w"))
@@ -50,15 +56,21 @@ def restricted(scored: DataFrame, allowed: DataFrame, mode: str = "semi") -> Dat
 
 
 def batch(postings: DataFrame, vocabulary: DataFrame, stats: DataFrame, query_terms: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, rank, doc_id, score): top ``topk`` of many queries in one plan. ``query_terms``: (query_id, topk, term), a row per occurrence."""
+    """(query_id, rank, doc_id, score): top ``topk`` of many queries in one plan. ``query_terms``: (query_id, topk, term), a row per occurrence.
+
+    Postings of a common term meet the queries in places by document. Each
+    task keeps of a query no more than the largest ``topk`` before these rows
+    move on to be ranked. Runs a job when it is called, for that number.
+    """
+    most = query_terms.agg(F.max("topk")).first()[0] or 0
     q = query_terms.groupBy("query_id", "topk", "term").agg(F.count(F.lit(1)).alias("qf"))
-    known = q.join(vocabulary.filter(F.col("df") <= settings.max_df).select("term", "df"), "term")
+    known = q.join(ranking_terms(vocabulary, settings), "term")
     n = stats.select("n_docs").scalar()
-    each = known.join(postings.select("term", "doc_id", "tf"), "term")
+    each = salted_join(postings.select("term", "doc_id", "tf"), known, "term", "doc_id")
     each = each.select("query_id", "topk", "doc_id", weight(n, F.col("df"), F.col("tf"), F.col("qf"), settings).alias("w"))
     scored = each.groupBy("query_id", "topk", "doc_id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= topk").select("query_id", "rank", "doc_id", "score")
+    return scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("topk"))).select("query_id", "rank", "doc_id", "score")
 
 
 def feedback_terms(index: Index, answers: DataFrame, terms: Counter, settings: Settings = DEFAULTS) -> DataFrame:

@@ -67,9 +67,10 @@ def linking(links: DataFrame, documents: DataFrame, title: str) -> DataFrame:
     title, for the last read.
     """
     target = F.translate(F.lower(wikitext.trim(F.lit(title))), wikitext.KEY_DROPS, "")
-    bearer = documents.groupBy("norm_title").agg(F.max_by("doc_id", "seq").alias("doc_id"))
     sources = links.filter(F.col("target_norm") == target).select("source_norm").distinct()
-    return sources.join(bearer, sources["source_norm"] == bearer["norm_title"]).groupBy("doc_id").agg(F.min("source_norm").alias("source_norm"))
+    bearing = documents.select("norm_title", "doc_id", "seq").join(sources, F.col("norm_title") == F.col("source_norm"))
+    bearer = bearing.groupBy("source_norm").agg(F.max_by("doc_id", "seq").alias("doc_id"))
+    return bearer.groupBy("doc_id").agg(F.min("source_norm").alias("source_norm"))
 
 
 def evaluate(index: Index, tree) -> DataFrame:

@@ -15,13 +15,16 @@ ARTICLES = r"""current_rows AS (
   SELECT * FROM current_rows WHERE ns = 0 AND redirect IS NULL AND length(title) > 0 AND length(text) > 0
 )"""
 
+#: Words as UAX#29 breaks them, quotes doubled for SQL.
+WORD = r"(?:\p{L}[\p{L}\p{M}]*(?:[.:''’·]\p{L}[\p{L}\p{M}]*)*|\p{N}+(?:[.,;''’]\p{N}+)*|_)+"
+
 STOP = "stop AS (SELECT DISTINCT w FROM (SELECT lower(trim(unnest(string_split(line, ',')))) AS w FROM stop_word) WHERE w <> '')"
 
 
 def kept(source: str, key_column: str) -> str:
     """Words left once stop words are gone, with their place among these."""
     return rf"""raw AS (
-  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS o FROM (SELECT {key_column} AS doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {source})
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS o FROM (SELECT {key_column} AS doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM {source})
 ), kept AS (
   SELECT doc_id, word, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INTEGER AS pos FROM raw WHERE word NOT IN (SELECT w FROM stop)
 )"""
@@ -71,6 +74,7 @@ def having(t: str) -> str:
     return f"SELECT doc_id FROM posting WHERE term = '{t}'"
 
 
+#: The patterns of wiki links and of links to the German wiki.
 LINKS = rf"""{ARTICLES}, link AS (
   SELECT id AS source_doc_id, {key('title')} AS source_norm,
     unnest(list_concat(regexp_extract_all(text, '\[\[([^:#|\]]+)(?:#[^|\]]*)?(?:\|[^\]]*)?\]\]', 1), regexp_extract_all(text, '\[http://de\.wikipedia\.org/wiki/([^ :#\]]+)[^\]]*\]', 1))) AS target FROM article
@@ -85,7 +89,7 @@ WIKI_LINKS = rf"""{ARTICLES}, kept AS (
 
 
 def cleaned(c: str) -> str:
-    """The ordered rewrites of wiki text. A dot of RE2 leaves out line feeds only, which is all the test texts have."""
+    """The ordered rewrites of wiki text. A dot of RE2 leaves out line feeds only, which is all the test texts have."""
     rules = (
         ("'''", ""), ("''", ""), ("==+", ""), (r"\[\[Datei:[^\]]*\]\]", ""), (r"\[\[[^|\]]+\|", ""), (r"\[\[", ""), (r"\]\]", ""), (r"\[\w+://[^\s]+\s", ""), (r"\[", ""), (r"\]", ""),
         (r"\{\{[^}]*\}\}", ""), (r"\{\{", ""), (r"\}\}", ""), (r"\{[^}]*\}", ""), (r"\|(.*)\n", ""), ("<gallery>[^<]*</gallery>", ""), ("<ref>[^<]*</ref>", ""), ("#WEITERLEITUNG", ""),
@@ -125,7 +129,7 @@ def hit_snippets(results: str, terms: str, tag: str) -> str:
     return rf"""win_{tag} AS (SELECT doc_id, t[1:10000] AS t FROM clean WHERE doc_id IN (SELECT doc_id FROM {results}) AND length(t) > 0
 ), split_{tag} AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM win_{tag}
 ), piece_{tag} AS (SELECT doc_id, t, unnest(list_concat(w[1:499], CASE WHEN len(w) > 499 THEN [array_to_string(w[500:], ' ')] ELSE [] END)) AS p, unnest(range(least(len(w), 500))) AS o FROM split_{tag}
-), said_{tag} AS (SELECT doc_id, t, p, o, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+') AS w FROM piece_{tag})
+), said_{tag} AS (SELECT doc_id, t, p, o, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, regexp_extract_all(lower(p), '{WORD}') AS w FROM piece_{tag})
 ), first_{tag} AS (SELECT doc_id, any_value(t) AS t, any_value(p) AS p, o, arg_min(word, k) AS word FROM said_{tag} WHERE word NOT IN (SELECT w FROM stop) GROUP BY doc_id, o
 ), {stems_of(f'first_{tag}', tag)}, hit_{tag} AS (
   SELECT doc_id, any_value(t) AS t, arg_min(p, o) AS p FROM first_{tag} JOIN stem_{tag} USING (word) WHERE term IN (SELECT term FROM {terms}) GROUP BY doc_id
@@ -159,7 +163,7 @@ SELECT rank, best.doc_id, round(score, 6) AS score, title, snippet FROM best JOI
 
 PRF_SQL = rf"""WITH {TERMS}, {CLEAN_ONLY}, {HEAD}, asked AS (SELECT * FROM (VALUES ('bruck', 2), ('siedlung', 1)) v(term, qf)
 ), {scored('s', 'asked')}, three AS (SELECT doc_id FROM s ORDER BY score DESC, doc_id LIMIT 3), {hit_snippets('three', 'asked', 'f')}, answer AS (
-  SELECT unnest(regexp_extract_all(lower(regexp_replace(title || chr(10) || snippet, '\.\.\.', '', 'g')), '[\p{{L}}\p{{N}}]+')) AS word FROM shown_f JOIN article ON id = doc_id
+  SELECT unnest(regexp_extract_all(lower(regexp_replace(title || chr(10) || snippet, '\.\.\.', '', 'g')), '{WORD}')) AS word FROM shown_f JOIN article ON id = doc_id
 ), fresh AS (SELECT DISTINCT word FROM answer WHERE word NOT IN (SELECT w FROM stop)), {stems_of('fresh', 'g')}, extra AS (
   SELECT term FROM answer JOIN stem_g USING (word) WHERE term NOT IN (SELECT term FROM asked) GROUP BY term ORDER BY count(*) DESC, term LIMIT 10
 ), more AS (SELECT term, qf FROM asked UNION ALL SELECT term, 1 FROM extra), {scored('again', 'more')}, whole AS ({in_a_row('bruck', 'siedlung', 'bruck')}), tiers AS (
@@ -172,6 +176,12 @@ ASKED = """asked AS (
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY asked_at NULLS LAST, query, topk) = 1
 )"""
 
+#: (query_id, topk, word) of the logged queries that rank, without operators and quotes.
+ASKED_WORDS = f"""asked_word AS (
+  SELECT query_id, topk, unnest(regexp_extract_all(lower(translate(replace(replace(replace(query, ' AND ', ' '), ' OR ', ' '), ' BUT NOT ', ' '), '"*' || chr(39), '')), '{WORD}')) AS word
+  FROM asked WHERE topk > 0 AND NOT contains(query, 'LINKTO ')
+), """
+
 
 def dcg(g: str, rank: str) -> str:
     gain = f"floor(10 * pow(0.5::DOUBLE, 0.1::DOUBLE * {g}))"
@@ -181,7 +191,7 @@ def dcg(g: str, rank: str) -> str:
 SQL = {
     "articles": f"WITH {ARTICLES} SELECT id AS doc_id, title, {key('title')} AS norm_title, length(text)::INTEGER AS chars FROM article",
     "title_norms": f"SELECT DISTINCT title, {key('title')} AS norm_title FROM page",
-    "tokenize": r"""SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)""",
+    "tokenize": f"""SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS w FROM documents)""",
     "stop_words": f"WITH {STOP} SELECT w AS word FROM stop",
     "stopword_filter": f"WITH {STOP}, {kept('documents', 'doc_id')} SELECT doc_id, pos, word FROM kept",
     "stem_light": f"WITH {ARTICLES}, {STOP}, {kept('article', 'id')}, {STEMS} SELECT word, normal, term FROM stem",
@@ -206,8 +216,8 @@ SELECT term, doc_id // 10000 AS part, string_agg(e, ';' ORDER BY doc_id) AS line
 SELECT doc_id, round(score, 6) AS score FROM s UNION ALL SELECT doc_id, 0.0::DOUBLE FROM allowed WHERE doc_id NOT IN (SELECT doc_id FROM s)""",
     "query_types": """SELECT DISTINCT query, CASE WHEN query IS NULL THEN 'none' WHEN query LIKE '%LINKTO %' THEN 'link'
   WHEN query LIKE '% AND %' OR query LIKE '% OR %' OR query LIKE '% BUT NOT %' THEN 'boolean' WHEN query LIKE '%*%' THEN 'prefix'
-  WHEN query LIKE '%''%''%' OR query LIKE '%"%"%' THEN 'phrase' ELSE 'keyword' END AS kind FROM query_case""",
-    "bm25_batch": rf"""WITH {TERMS.replace('kept AS (', 'asked_word AS (SELECT query_id, topk, unnest(regexp_extract_all(lower(q), ' + chr(39) + '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+' + chr(39) + ')) AS word FROM (SELECT query_id, topk, replace(translate(replace(replace(replace(query, ' + chr(39) + ' AND ' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + ' OR ' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + ' BUT NOT ' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '), chr(39) || chr(34) || ' + chr(39) + '*' + chr(39) + ', ' + chr(39) * 2 + '), ' + chr(39) + 'LINKTO ' + chr(39) + ', ' + chr(39) * 2 + ') AS q FROM (' + ASKED[ASKED.index('SELECT'):-2] + ') WHERE topk > 0 AND NOT contains(query, ' + chr(39) + 'LINKTO ' + chr(39) + '))), kept AS (').replace('(SELECT DISTINCT word FROM kept)', '(SELECT DISTINCT word FROM kept UNION SELECT word FROM asked_word)')}, qt AS (
+  WHEN regexp_matches(query, '(?s)(^|[^\\p{L}\\p{N}_])''.*?''([^\\p{L}\\p{N}_]|$)|".*?"') THEN 'phrase' ELSE 'keyword' END AS kind FROM query_case""",
+    "bm25_batch": rf"""WITH {ASKED}, {TERMS.replace('kept AS (', ASKED_WORDS + 'kept AS (').replace('(SELECT DISTINCT word FROM kept)', '(SELECT DISTINCT word FROM kept UNION SELECT word FROM asked_word)')}, qt AS (
   SELECT query_id, topk, term, count(*) AS qf FROM asked_word JOIN stem USING (word) WHERE word NOT IN (SELECT w FROM stop) GROUP BY ALL
 ), s AS (
   SELECT query_id, topk, doc_id, round(sum(ln(((SELECT count(*) FROM article) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 2.2::DOUBLE * tf / (1.2::DOUBLE + tf) * 101 * qf / (100 + qf)), 9) AS score
@@ -215,7 +225,7 @@ SELECT doc_id, round(score, 6) AS score FROM s UNION ALL SELECT doc_id, 0.0::DOU
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= topk""",
     "prf_terms": rf"""WITH {TERMS}, {scores('s', RANKED)}, best AS (SELECT doc_id FROM s ORDER BY score DESC, doc_id LIMIT 3
-), answer AS (SELECT unnest(regexp_extract_all(lower(regexp_replace(title || chr(10) || text, '\.\.\.', '', 'g')), '[\p{{L}}\p{{N}}]+')) AS word FROM article WHERE id IN (SELECT doc_id FROM best)
+), answer AS (SELECT unnest(regexp_extract_all(lower(regexp_replace(title || chr(10) || text, '\.\.\.', '', 'g')), '{WORD}')) AS word FROM article WHERE id IN (SELECT doc_id FROM best)
 ), fresh AS (SELECT DISTINCT word FROM answer WHERE word NOT IN (SELECT w FROM stop)), {STEMS.replace('spelled AS', 'spelled2 AS').replace('FROM spelled', 'FROM spelled2').replace('once AS', 'once2 AS').replace('FROM once', 'FROM once2').replace('stem AS', 'stem2 AS').replace('FROM kept', 'FROM fresh')}
 SELECT term, count(*) AS n FROM answer JOIN stem2 USING (word) WHERE term NOT IN ('bruck', 'siedlung') GROUP BY term ORDER BY n DESC, term LIMIT 10""",
     "bm25_prf": PRF_SQL,
@@ -231,7 +241,7 @@ SELECT rank, doc_id, round(score, 6) AS score, title FROM r JOIN article ON id =
     "snippet_hit": rf"""WITH {CLEAN}, {HEAD}, win AS (SELECT doc_id, t[1:10000] AS t FROM clean WHERE length(t) > 0
 ), split AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM win
 ), piece AS (SELECT doc_id, t, unnest(list_concat(w[1:499], CASE WHEN len(w) > 499 THEN [array_to_string(w[500:], ' ')] ELSE [] END)) AS p, unnest(range(least(len(w), 500))) AS o FROM split
-), hit AS (SELECT doc_id, any_value(t) AS t, arg_min(p, o) AS p FROM piece WHERE regexp_extract(lower(p), '[\p{{L}}\p{{N}}]+') = 'nutzung' GROUP BY doc_id
+), hit AS (SELECT doc_id, any_value(t) AS t, arg_min(p, o) AS p FROM piece WHERE regexp_extract(lower(p), '{WORD}') = 'nutzung' GROUP BY doc_id
 ), placed AS (SELECT doc_id, t, instr(t, p) - 1 AS p FROM hit
 ), near AS (SELECT *, {last_blank('t', '(p - 100)')} + 1 AS near FROM placed
 ), start AS (SELECT *, CASE WHEN p <= 100 THEN 0 WHEN p - near > 140 THEN p - 100 ELSE near END AS a, least(p + 120, length(t)) AS e FROM near
@@ -254,6 +264,17 @@ FROM gold_ranking WHERE query IS NOT NULL AND title IS NOT NULL AND gold_rank IS
 ), d AS (SELECT query_id, sum({dcg('g', 'rank')}) AS dcg FROM hit JOIN asked USING (query_id) JOIN best USING (query_id, title) WHERE rank BETWEEN 1 AND topk GROUP BY ALL
 ), i AS (SELECT query_id, sum({dcg('r', 'r')}) AS idcg FROM (SELECT query_id, unnest(range(1, topk + 1)) AS r FROM asked WHERE topk > 0) GROUP BY ALL)
 SELECT query_id, CASE WHEN topk > 0 THEN round(coalesce(dcg, 0) / idcg, 9) ELSE 'nan'::DOUBLE END AS ndcg FROM asked LEFT JOIN d USING (query_id) LEFT JOIN i USING (query_id)""",
+    "evaluation": f"""WITH {TERMS}, {scores('s', RANKED)}, whole AS ({in_a_row('bruck', 'siedlung', 'bruck')}), hit AS (
+  SELECT title, row_number() OVER (ORDER BY doc_id NOT IN (SELECT doc_id FROM whole), score DESC, doc_id) AS rank FROM s JOIN article ON id = doc_id QUALIFY rank <= 10
+), gold AS (SELECT title, row_number() OVER (ORDER BY doc_id) AS g FROM posting JOIN article ON id = doc_id WHERE term = 'bruck' QUALIFY g <= 100
+), best AS (SELECT title, min(g) AS g FROM gold GROUP BY title
+), d AS (SELECT sum({dcg('g', 'rank')}) AS dcg FROM hit JOIN best USING (title)), i AS (SELECT sum({dcg('r', 'r')}) AS idcg FROM (SELECT unnest(range(1, 11)) AS r))
+SELECT rank::INTEGER AS rank, hit.title, round(coalesce(dcg, 0) / idcg, 6) AS ndcg FROM hit, d, i""",
+    "unranked_limit": f"""WITH {TERMS}, hit AS (SELECT DISTINCT doc_id FROM posting WHERE term IN (SELECT term FROM voc WHERE term LIKE 'bruck%' ORDER BY term LIMIT 10))
+SELECT (row_number() OVER (ORDER BY doc_id))::INTEGER AS rank, doc_id FROM hit QUALIFY rank <= 25""",
+    "argument_guards": "SELECT * FROM (VALUES ('null query', 0::BIGINT), ('no results wanted', 0), ('fewer than none', 0), ('nothing asked', 0)) v(arguments, n)",
+    "empty_restriction": f"""WITH {TERMS}, {scores('s', {'bruck': 1})} SELECT (row_number() OVER (ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, round(score, 6) AS score FROM s QUALIFY rank <= 10""",
+    "head_sample": f"WITH {ARTICLES} SELECT title AS value FROM article WHERE NOT contains(title, chr(10)) ORDER BY id LIMIT 101",
     "xml_pages": f"WITH {ARTICLES} SELECT id AS doc_id, title, length(text)::INTEGER AS chars FROM article",
     "p1_found": f"""WITH {WIKI_LINKS}, heavy AS (SELECT target_norm FROM kept GROUP BY 1 HAVING count(*) * 50 >= (SELECT count(*) FROM kept))
 SELECT DISTINCT target_norm, source_doc_id FROM kept WHERE target_norm IN (SELECT target_norm FROM heavy)""",

@@ -13,6 +13,7 @@ from textloom.functions.snippet import snippet
 from textloom.operators import index as ix
 from textloom.operators import ranking, setqueries
 from textloom.operators.numbering import numbered as all_numbered
+from textloom.operators.staging import written
 from textloom.plans import parser
 from textloom.sources import sinks
 
@@ -24,14 +25,16 @@ def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings
 
     Documents that have the whole query as a phrase come first, the others
     after them, by score in both. Phrases and prefixes in the query restrict
-    the others. If a query is nothing but phrases and prefixes, or has no
-    terms, the documents these allow come by id, unranked. ``compat``: also a
+    the others; one without terms restricts nothing. If a query is nothing but
+    phrases and prefixes, or has no terms, the documents these allow come by id, unranked. ``compat``: also a
     single term is tried as a phrase; phrase hits come by id, and if there are
     k of them nothing is ranked.
     """
     terms = Counter(index.analysis.terms(index.spark, parser.plain(tree.text)))
     allowed = None
     for r in tree.restrictions:
+        if isinstance(r, parser.Phrase) and not index.analysis.terms(index.spark, r.text):
+            continue
         found = setqueries.evaluate(index, r)
         allowed = found if allowed is None else allowed.intersect(found)
     if not terms or (tree.restrictions and not tree.rest):
@@ -40,7 +43,7 @@ def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings
     scored = bounded(index, terms, allowed, settings, candidates)
     if prf > 0:
         best = ranking.top(scored, prf)
-        texts = answers(index, numbered(best.withColumn("tier", F.lit(1)), prf), list(terms), settings)
+        texts = answers(index, numbered(best.withColumn("tier", F.lit(1)), prf), list(terms), settings, prf)
         new = ranking.feedback_terms(index, texts.select(F.concat_ws("\n", F.coalesce("title", F.lit("")), "snippet").alias("answer")), terms, settings)
         extra = [r.term for r in new.collect()]  # at most feedback_terms rows
         scored = bounded(index, terms + Counter(extra), allowed, settings, candidates)
@@ -70,9 +73,17 @@ def numbered(rows: DataFrame, k: int) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "doc_id", "score")
 
 
-def answers(index: ix.Index, results: DataFrame, terms: list[str], settings: Settings = DEFAULTS) -> DataFrame:
-    """(rank, doc_id, score, title, snippet): results with their titles and snippets; these are made after the cut, of the results alone."""
+def answers(index: ix.Index, results: DataFrame, terms: list[str], settings: Settings = DEFAULTS, cut: int | None = None) -> DataFrame:
+    """(rank, doc_id, score, title, snippet): results with their titles and snippets; these are made after the cut, of the results alone.
+
+    ``cut``: the number of results, where it is bounded. Up to ``fetch`` of
+    them are worked out first; their ids then reach the scan of the documents.
+    """
     docs = index.documents.select("doc_id", "title", "clean_text")
+    if cut is not None and cut <= settings.fetch:
+        rows = results.select("rank", "doc_id", "score").collect()  # at most cut
+        results = index.spark.createDataFrame(rows, "rank int, doc_id long, score double")
+        docs = F.broadcast(docs.filter(F.col("doc_id").isin([r.doc_id for r in rows])))
     with_text = results.join(docs, "doc_id", "left")
     first = lambda piece: index.analysis.term(F.try_element_at(index.analysis.words(piece), F.lit(1)))
     wanted = F.array(*map(F.lit, terms)).cast("array<string>")
@@ -97,28 +108,30 @@ class Engine:
         tree = parser.parse(query, strict=self.strict)
         if tree is None or k <= 0:
             return self.index.spark.createDataFrame([], RESULT)
+        cut = None
         terms = list(dict.fromkeys(self.index.analysis.terms(self.index.spark, parser.plain(query))))
         if isinstance(tree, parser.Link):
             found = setqueries.linking(self.index.links, self.index.documents, tree.title)
             hits = all_numbered(found.select("doc_id", F.lit(None).cast("double").alias("score"), "source_norm"), [F.col("source_norm"), F.col("doc_id")])
         elif isinstance(tree, parser.Keyword):
-            hits = ranked(self.index, tree, k, prf, self.settings, self.candidates, self.compat)
+            hits, cut = ranked(self.index, tree, k, prf, self.settings, self.candidates, self.compat), k
         else:
             found = setqueries.evaluate(self.index, tree)
             hits = all_numbered(found.select("doc_id", F.lit(None).cast("double").alias("score")), [F.col("doc_id")])
-        return answers(self.index, hits, terms, self.settings)
+        return answers(self.index, hits, terms, self.settings, cut)
 
-    def evaluate(self, query: str, k: int, prf: int, gold: DataFrame) -> tuple[DataFrame, float]:
-        """Results, and their quality against ``gold`` (rank, title); both go to the log with the time taken."""
+    def evaluate(self, query: str, k: int, prf: int, gold: DataFrame, log: str | None = None) -> tuple[DataFrame, float]:
+        """Results, and their quality against ``gold`` (rank, title); both go to the log with the time taken, and to the folder ``log`` if there is one."""
         began = time.perf_counter()
-        results = self.search(query, k, prf).cache()
-        results.count()
+        results = written(self.search(query, k, prf))
         seconds = time.perf_counter() - began
         spark = self.index.spark
         one = F.lit(1).alias("query_id")
         at = spark.createDataFrame([(1, k)], "query_id int, at int")
         value = ranking.ndcg(results.select(one, "rank", "title"), gold.select(one, "rank", "title"), at).first().ndcg
-        sinks.result_log(query, seconds, results, value, k)
+        text = sinks.result_log(query, seconds, results, value, k)
+        if log:
+            sinks.append_log(spark, text, log)
         return results, value
 
 

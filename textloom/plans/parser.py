@@ -13,7 +13,8 @@ from dataclasses import dataclass
 LINKTO, OPERATORS = "LINKTO ", (" AND ", " OR ", " BUT NOT ")
 _SPLIT = re.compile("( AND | OR | BUT NOT )")
 #: The leftmost pair of like quotes; an apostrophe inside a word is none.
-_PHRASE = re.compile(r"(?<!\w)'(.*?)'(?!\w)|\"(.*?)\"", re.S)
+PHRASE = r"(?<!\w)'(.*?)'(?!\w)|\"(.*?)\""
+_PHRASE = re.compile(PHRASE, re.S)
 _PREFIX = re.compile(r"[^\s*]*\*")
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.config import Settings
 from textloom.functions import analyzer, snippet, wikitext
 from textloom.operators import index as ix
 from textloom.operators import pages, ranking, setqueries, skew
+from textloom.operators.numbering import numbered
 from textloom.oracles import SQL  # noqa: F401
 from textloom.plans import engine, parser
 from textloom.sources import readers, sinks
@@ -111,8 +115,8 @@ def corpus_stats(spark, folder):
 
 
 def df_cutoff(spark, folder):
-    v = index(spark, folder).vocabulary
-    return v.filter(F.col("df") <= 100).select("term", "df")
+    """Terms that count in ranking, at a cut that these tables reach."""
+    return ranking.ranking_terms(index(spark, folder).vocabulary, Settings(max_df=100))
 
 
 def _set(query):
@@ -153,7 +157,7 @@ def query_types(spark, folder):
         .when(q.contains("LINKTO "), "link")
         .when(q.contains(" AND ") | q.contains(" OR ") | q.contains(" BUT NOT "), "boolean")
         .when(q.contains("*"), "prefix")
-        .when(q.rlike("'.*'") | q.rlike('".*"'), "phrase")
+        .when(q.rlike("(?sU)" + parser.PHRASE), "phrase")
         .otherwise("keyword")
     )
     return table(spark, folder, "query_case").select("query", kind.alias("kind")).distinct()
@@ -292,13 +296,49 @@ def index_round_trip(spark, folder):
     return e.search(RANKED, 10).select("rank", "doc_id", F.round("score", 6).alias("score"), "title")
 
 
+def evaluation(spark, folder):
+    """A search and its quality against the first articles with its term, as logged."""
+    i = index(spark, folder)
+    first = i.postings.filter(F.col("term") == i.analysis.terms(spark, "Brücke")[0]).orderBy("doc_id").limit(100).select("doc_id")
+    gold = numbered(first.join(i.documents.select("doc_id", "title"), "doc_id"), [F.col("doc_id")]).select("rank", "title")
+    results, value = engine.Engine(i).evaluate(RANKED, 10, 0, gold)
+    return results.select("rank", "title", F.round(F.lit(value), 6).alias("ndcg"))
+
+
+def unranked_limit(spark, folder):
+    """A query of nothing but a prefix: the first by id."""
+    return engine.Engine(index(spark, folder)).search(f"{PREFIX}*", 25).select("rank", "doc_id")
+
+
+def empty_restriction(spark, folder):
+    """Phrases without terms restrict nothing."""
+    return engine.Engine(index(spark, folder)).search('Brücke "" "der"', 10).select("rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def argument_guards(spark, folder):
+    """Results of calls that have none."""
+    e = engine.Engine(index(spark, folder))
+    calls = {"null query": (None, 10), "no results wanted": (RANKED, 0), "fewer than none": (RANKED, -1), "nothing asked": ("", 10)}
+    return reduce(DataFrame.unionAll, (e.search(q, k).agg(F.lit(name).alias("arguments"), F.count(F.lit(1)).alias("n")) for name, (q, k) in calls.items()))
+
+
+def head_sample(spark, folder):
+    """The first lines of a text file: here of one with a title per line."""
+    from textloom.operators.staging import shared_folder
+
+    titles = pages.articles(table(spark, folder, "page"), title=F.col("title")).filter(~F.contains("title", F.lit("\n")))
+    path = f"{shared_folder(spark)}/titles-{spark.sparkContext.applicationId}"
+    titles.orderBy("id").select("title").coalesce(1).write.mode("overwrite").text(path)
+    return readers.head(spark, path, 101)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         articles, title_norms, tokenize, stop_words, stopword_filter, stem_light, stem_full, postings, posting_lists, posting_round_trip, vocabulary_df,
         corpus_stats, df_cutoff, bm25_topk, bm25_restricted, bm25_union, query_types, bm25_batch, prf_terms, bm25_prf, keyword_pipeline, keyword_full,
         strict_boolean, snippet_head, snippet_hit, clean_markup, link_extract, link_lists, link_round_trip, link_query, operator_strip, answer_titles, gold_extract, ndcg, xml_pages, index_round_trip,
-        p1_found, p1_summary, p1_percentiles,
+        evaluation, unranked_limit, empty_restriction, argument_guards, head_sample, p1_found, p1_summary, p1_percentiles,
     )
 } | {
     "term_query": _set("Brücke"),

@@ -58,6 +58,25 @@ def gold_titles(pages: DataFrame) -> DataFrame:
     return ranked.select("query", F.posexplode("ts").alias("n", "t")).select("query", (F.col("n") + 1).alias("rank"), "t.title")
 
 
+def gold_cached(pages: DataFrame, folder: str) -> DataFrame:
+    """``gold_titles`` of the queries of ``pages``, kept in a folder: only queries that are not there yet are worked out, and added.
+
+    A query whose page has no title is kept as one row with null rank and
+    title, so that it is not asked for again, and comes out as no row.
+    """
+    spark = pages.sparkSession
+    kind = "query string, rank int, title string"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    new = pages.filter("query IS NOT NULL")
+    if there:
+        new = new.join(spark.read.schema(kind).parquet(folder).select("query").distinct(), "query", "left_anti")
+    found = gold_titles(new)
+    (new.select("query").distinct().join(found, "query", "left").select("query", "rank", "title").write.mode("append").parquet(folder))
+    asked = pages.select("query").distinct()
+    return spark.read.schema(kind).parquet(folder).filter("rank IS NOT NULL").join(asked, "query", "left_semi")
+
+
 def head(spark: SparkSession, path: str, n: int = 2001) -> DataFrame:
     """The first n lines of one text file, as a sample of a dump."""
     return spark.read.text(path).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger("textloom")
@@ -16,6 +16,11 @@ def mediawiki(pages: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
 
 
+def append_log(spark: SparkSession, text: str, folder: str) -> None:
+    """Adds a block to a log: a text file of its own in the folder, so that writers at the same time lose nothing."""
+    spark.createDataFrame([(text + "\n",)], "block string").coalesce(1).write.mode("append").text(folder)
+
+
 def result_log(query: str, seconds: float, results: DataFrame, ndcg: float | None, k: int) -> str:
     """A log block of one search: query, time, ranking, quality. ``results`` has at most k rows, or the links of one title."""
     lines = [f"query: {query}", f"seconds: {seconds:.3f}"]
