@@ -19,7 +19,7 @@ from textloom.operators.staging import written
 #: Shingles worked on at once, and words whose hashes a task remembers.
 CHUNK, KNOWN = 200_000, 1_000_000
 #: Records of a band, or copies of a text, that meet in one slice of it; places over which a band is spread at least.
-HOT, SPREAD = 1000, 16
+HOT, SPREAD = 256, 16
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -93,20 +93,18 @@ def verify(width: int, least: float):
     return run
 
 
+#: Two hashes of a text, case left out: the same for exact copies.
+PRINTS = {f"f{k}": lambda text, k=k: F.xxhash64(F.lower(text), F.lit(k)) for k in (0, 1)}
+
+
 def fingerprint() -> list[Column]:
-    """Two hashes of the text, case left out: the same for exact copies."""
-    return [F.xxhash64(F.lower("text"), F.lit(k)).alias(f"f{k}") for k in (0, 1)]
+    return [f(F.col("text")).alias(c) for c, f in PRINTS.items()]
 
 
-def has_run(width: int) -> Column:
+def has_run(width: int, text: Column | None = None) -> Column:
     """Whether the text has as many words."""
     word, gap = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
-    return F.col("text").rlike(f"(?:{word}{gap}){{{width - 1}}}{word}")
-
-
-def prepared(records: DataFrame) -> DataFrame:
-    """(id, text, f0, f1): the records with a text and their fingerprints, written once for all that follows."""
-    return written(records.filter(F.length("text") > 0).select("id", "text", *fingerprint()))
+    return (F.col("text") if text is None else text).rlike(f"(?:{word}{gap}){{{width - 1}}}{word}")
 
 
 def classes(records: DataFrame) -> DataFrame:
@@ -138,24 +136,29 @@ def candidates(bands: DataFrame, least: float = 0.0) -> DataFrame:
 
     Rows move once, by band and a hash of the id, so that a band with a third
     of all records is spread (see ``places``). Bands are counted there and
-    summed up, and those of one record, nearly all, are out before the join; the
-    rest is written. A band of more than HOT records is cut into slices of
-    about HOT: each record lies in its slice on the left and meets all slices
-    on the right, so no task takes more than HOT records of a band against the
-    band, and no pair is lost.
+    summed up, and those of one record, nearly all, are out at once. A band of
+    more than HOT records is cut into slices of about HOT, and each two of its
+    slices meet in a cell of their own; a smaller band is one cell. So no task
+    holds more than two slices of a band at a time, and no pair is lost.
     """
     spread = places(bands)
     place = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(spread)), F.lit(0)).cast("int")
     rows = bands.filter("band IS NOT NULL AND id IS NOT NULL").withColumn("s", place).repartition("band", "s")
-    # the count looks at the ids, as the join does, so that both uses read the same and the shuffle and what lies before it run once
+    # the count looks at the same columns as the join, so that the shuffle and what lies before it run once
     parts = rows.groupBy("band", "s").agg(F.count_if((F.col("id") >= F.lit(-(1 << 63))) & (F.col("n") >= 0)).alias("m"))
     several = parts.groupBy("band").agg(F.sum("m").alias("m")).filter("m > 1")
     everywhere = several.select("band", "m", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
-    shared = written(rows.join(everywhere, ["band", "s"]).select("band", "id", "n", "m"))
-    a = shared.select("band", slice_of("id", "m").alias("slice"), F.col("id").alias("a"), F.col("n").alias("n_a"))
-    b = shared.select("band", F.explode(F.sequence(F.lit(0), slices("m") - 1)).alias("slice"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    near = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(least - 1e-9) * F.greatest("n_a", "n_b"))
-    return a.join(b, ["band", "slice"]).filter(near).select("a", "b").distinct()
+    shared = rows.join(everywhere, ["band", "s"]).select("band", "id", "n", slices("m").alias("of"), slice_of("id", "m").alias("slice"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda x: F.struct(F.least(x, "slice").alias("x"), F.greatest(x, "slice").alias("y"))))
+    cells = shared.select("band", meets.alias("cell"), F.struct("id", "n", "slice").alias("r")).groupBy("band", "cell").agg(F.collect_list("r").alias("rs"))
+    each = cells.filter("size(rs) > 1").select("cell", "rs", F.explode("rs").alias("r"))
+
+    def partner(b):
+        alike_in_size = F.least(F.col("r.n"), b["n"]) >= F.lit(least - 1e-9) * F.greatest(F.col("r.n"), b["n"])
+        # two records of one slice meet in the cell of that slice alone
+        return (F.col("r.id") < b["id"]) & alike_in_size & ((F.col("r.slice") != b["slice"]) | (F.col("cell.x") == F.col("cell.y")))
+
+    return each.select(F.col("r.id").alias("a"), F.explode(F.transform(F.filter("rs", partner), lambda b: b["id"])).alias("b")).distinct()
 
 
 def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: int = 64, rows: int = 4) -> DataFrame:
@@ -169,13 +172,9 @@ def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: in
     (1 - s^rows)^n_bands, under 0.015 % at 0.6. Every candidate is verified
     on the words themselves.
     """
-    return alike_of(prepared(records), width=width, least=least, n_bands=n_bands, rows=rows)
-
-
-def alike_of(texts: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: int = 64, rows: int = 4) -> DataFrame:
-    """``alike`` of records that are ``prepared``."""
-    reps = texts.groupBy("f0", "f1").agg(F.min("id").alias("id")).select("id")
-    bands = texts.select("id", "text").join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long, n int")
+    texts = records.filter(F.length("text") > 0).select("id", "text")
+    reps = texts.groupBy(*fingerprint()).agg(F.min("id").alias("id")).select("id")
+    bands = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long, n int")
     pairs = candidates(bands, least)
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")

@@ -43,15 +43,19 @@ def p4_pairs(spark, folder):
     return nearduplicates.alike(titled_texts(spark, folder), width=3, least=0.6)
 
 
+def text_classes(spark, folder, **columns):
+    """(id, f0, f1, …): fingerprints of the same, made before rows move."""
+    text = F.concat_ws(" ", "title", "text")
+    return pages.articles(table(spark, folder, "page"), **{c: f(text) for c, f in nearduplicates.PRINTS.items()}, **{c: f(text) for c, f in columns.items()})
+
+
 def p4_found(spark, folder):
-    texts = nearduplicates.prepared(titled_texts(spark, folder))
-    members = nearduplicates.same(written(texts.filter(nearduplicates.has_run(3)).select("id", "f0", "f1")))
-    return nearduplicates.expand(nearduplicates.alike_of(texts, width=3, least=0.6), members)
+    members = text_classes(spark, folder, ok=lambda t: nearduplicates.has_run(3, t)).filter("ok").drop("ok")
+    return nearduplicates.expand(p4_pairs(spark, folder), nearduplicates.same(written(members)))
 
 
 def p4_groups(spark, folder):
-    texts = nearduplicates.prepared(titled_texts(spark, folder))
-    return nearduplicates.linked(nearduplicates.same(texts.select("id", "f0", "f1")), nearduplicates.alike_of(texts))
+    return nearduplicates.linked(nearduplicates.same(written(text_classes(spark, folder))), nearduplicates.alike(titled_texts(spark, folder)))
 
 
 def p5_found(spark, folder):
