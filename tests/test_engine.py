@@ -3,8 +3,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import largest_partition
+from textloom import queries
+from textloom.config import Settings
 from textloom.operators import index as ix
-from textloom.operators import ranking, setqueries
+from textloom.operators import ranking, setqueries, skew
 from textloom.operators.numbering import numbered
 from textloom.plans import parser
 from textloom.plans.engine import Engine, title_of
@@ -221,3 +224,73 @@ def test_arrivals(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("arrived").collect()) == [1, 2]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_results_are_looked_up_by_id(index):
+    shown = Engine(index[0]).search("saft", 2)
+    assert "In(doc_id, [3,5])" in plan_of(shown) and [r.doc_id for r in shown.orderBy("rank").collect()] == [3, 5]
+    # beyond ``fetch`` they are joined; the rows are the same
+    other = Engine(index[0], settings=Settings(fetch=1)).search("saft", 2)
+    assert "In(doc_id" not in plan_of(other) and other.orderBy("rank").collect() == shown.orderBy("rank").collect()
+
+
+def test_batch_cuts_in_tasks(index, spark):
+    i = index[0]
+    asked = spark.createDataFrame([(1, 2, "gelb"), (2, 5, "rot")], "query_id int, topk int, term string")
+    assert "WindowGroupLimit" in plan_of(ranking.batch(i.postings, i.vocabulary, i.stats, asked))
+    assert ranking.batch(i.postings, i.vocabulary, i.stats, asked.filter("false")).count() == 0
+
+
+def test_saved_tables_are_in_order(spark, tmp_path):
+    folder = str(tmp_path / "i")
+    rows = spark.createDataFrame([(k * 7 % 101, f"T{k}", f"wort{k % 9} alle [[T{k % 5}]]") for k in range(101)], SCHEMA).repartition(5)
+    ix.save(ix.build(rows, ix.Analysis([], ())), folder)
+    for part, key in (("documents", "doc_id"), ("postings", "term"), ("links", "target_norm")):
+        spans = spark.read.parquet(f"{folder}/{part}").groupBy(F.input_file_name()).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("lo").collect()
+        assert all(a.hi <= b.lo for a, b in zip(spans, spans[1:]))
+    i = ix.load(spark, folder, ix.Analysis([], ()))
+    assert i.stats.first().n_docs == 101 and i.vocabulary.filter("term = 'alle'").first().df == 101 and i.links.count() == 101
+
+
+@pytest.mark.parametrize(("query", "ids"), [('rot ""', [1]), ('rot "..."', [1]), ('gelb "birne" ""', [3, 4]), ('""', []), ('"..." s*', [3, 4, 5])])
+def test_phrases_without_terms_restrict_nothing(index, query, ids):
+    assert sorted(r.doc_id for r in Engine(index[0]).search(query, 10).collect()) == ids
+
+
+@pytest.mark.parametrize(("query", "kind"), [("l'eau d'or", "keyword"), ("'a b' c", "phrase"), ('a "b', "keyword"), ('"b"', "phrase"), ("a* 'b'", "prefix"), ("Nertbän's x'", "keyword"), (None, "none")])
+def test_query_kinds_follow_the_parser(spark, tmp_path, query, kind):
+    spark.createDataFrame([(query,)], "query string").write.parquet(f"{tmp_path}/query_case.parquet")
+    assert queries.query_types(spark, str(tmp_path)).first().kind == kind
+    if kind in ("phrase", "keyword"):
+        tree = parser.parse(query)
+        assert any(isinstance(r, parser.Phrase) for r in tree.restrictions) == (kind == "phrase")
+
+
+def test_gold_titles_are_kept(spark, tmp_path):
+    folder = str(tmp_path / "gold")
+    pages = [("q", '<li><a title="A">\n<li><a title="B">'), ("leer", "<ul>"), (None, '<li><a title="N">')]
+    make = lambda rows: spark.createDataFrame(rows, "query string, html string")
+    first = sorted(map(tuple, readers.gold_cached(make(pages), folder).collect()))
+    assert first == [("q", 1, "A"), ("q", 2, "B")]
+    # what is kept holds, and only what is new is added
+    again = readers.gold_cached(make([("q", '<li><a title="anders">'), ("r", '<li><a title="C">'), ("leer", '<li><a title="X">')]), folder)
+    assert sorted(map(tuple, again.collect())) == [*first, ("r", 1, "C")]
+    assert readers.gold_cached(make([]), str(tmp_path / "none")).count() == 0
+
+
+def test_log_folder_grows(index, spark, tmp_path):
+    folder = str(tmp_path / "log")
+    for q in ("rot", "gelb"):
+        Engine(index[0]).evaluate(q, 2, 0, spark.createDataFrame([(1, "A")], "rank int, title string"), log=folder)
+    lines = [r.value for r in spark.read.text(folder).collect()]
+    assert {"query: rot", "query: gelb", "1. A"} <= set(lines) and sum(x.startswith("ndcg@2") for x in lines) == 2
+
+
+def test_a_word_of_every_document_is_spread(spark, no_skew_join):
+    docs = ix.documents(spark.createDataFrame([(k, "T", f"alle w{k}") for k in range(4000)], SCHEMA).repartition(8))
+    joined = skew.salted_join(ix.words(docs, ix.Analysis([], ())), spark.createDataFrame([("alle", 1)], "word string, x int"), "word", "doc_id")
+    assert joined.count() == 4000 and largest_partition(joined) < 2000

@@ -145,3 +145,14 @@ def test_snippets(spark):
     hits = [next((p for p in t.split(" ") if p.strip(",").split("\n")[0].lower() == "ziel"), None) for t in texts]
     assert got == [snippet_reference(t, h) for t, h in zip(texts, hits)]
     assert one(spark, column, t="") is None and one(spark, column, t=None) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [
+        ("d.h. z.B.", ["d.h", "z.b"]), ("3,14 und 1.000.000, 5", ["3,14", "und", "1.000.000", "5"]), ("can't o’clock 'x'", ["can't", "o’clock", "x"]), ("Kategorie:Ort : x", ["kategorie:ort", "x"]),
+        ("a,b a.1 1.a a1.b2", ["a", "b", "a", "1", "1", "a", "a1", "b2"]), ("foo_bar __", ["foo_bar", "__"]), ("e\u0301te\u0301", ["e\u0301te\u0301"]), ("... ,,, ", []), ("", []),
+    ],
+)
+def test_word_breaks(spark, text, words):
+    assert spark.createDataFrame([(text,)], "t string").select(analyzer.tokens(F.col("t")).alias("w")).first().w == words

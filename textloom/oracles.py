@@ -46,6 +46,41 @@ STEMS = r"""spelled AS (
     WHEN length(s) > 4 AND regexp_matches(s, '[bdfghklmnt]st$') THEN s[:-3] ELSE s END AS term FROM once
 )"""
 
+#: Letter groups that count as one letter in the second stemmer.
+GROUPS = (("sch", "$"), ("ch", "§"), ("ei", "%"), ("ie", "&"), ("ig", "#"), ("st", "!"))
+
+
+def once_stripped(v: str) -> str:
+    return f"""CASE WHEN length({v}) <= 3 THEN {v} WHEN length({v}) + hidden > 5 AND {v} LIKE '%nd' THEN {v}[:-3]
+    WHEN length({v}) + hidden > 4 AND ({v} LIKE '%em' OR {v} LIKE '%er') THEN {v}[:-3] WHEN {v}[-1] IN ('e', 's', 'n', 't') THEN {v}[:-2] ELSE {v} END"""
+
+
+def strip_all(name: str, source: str) -> str:
+    """CTE (word, hidden, v): endings of (word, hidden, v) stripped until none is left."""
+    return f"""{name}_step(word, hidden, v, i) AS (
+  SELECT word, hidden, v, 0 FROM {source} UNION ALL SELECT word, hidden, {once_stripped('v')}, i + 1 FROM {name}_step WHERE {once_stripped('v')} <> v
+), {name} AS (SELECT word, any_value(hidden) AS hidden, arg_max(v, i) AS v FROM {name}_step GROUP BY word)"""
+
+
+def second_stems(source: str, name: str, tag: str = "") -> str:
+    """CTEs up to ``name`` (word, normal, term): those of ``source`` stemmed again."""
+    v = "translate(replace(term, 'ß', 'ss'), 'äöü', 'aou')"
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        v = f"replace({v}, '{c}{c}', '{c}*')"
+    for group, sign in GROUPS:
+        v = f"replace({v}, '{group}', '{sign}')"
+    hidden = " + ".join(f"{len(group) - 1} * (length(v) - length(replace(v, '{sign}', '')))" for group, sign in GROUPS)
+    back = "regexp_replace(regexp_replace(v, 'z$', 'x'), '(\\p{L})\\*', '\\1\\1', 'g')"
+    for group, sign in GROUPS:
+        back = f"replace({back}, '{sign}', '{group}')"
+    return f"""grouped{tag} AS (SELECT term AS word, {hidden} AS hidden, v FROM (SELECT DISTINCT term, {v} AS v FROM {source} WHERE regexp_matches(term, '^\\p{{L}}+$'))
+), {strip_all('bare' + tag, 'grouped' + tag)}, less{tag} AS (SELECT word, hidden, v[:-2] AS v FROM bare{tag} WHERE length(v) > 5 AND v LIKE '%erin*'
+), {strip_all('barer' + tag, 'less' + tag)}, ungrouped{tag} AS (
+  SELECT word, {back} AS v FROM (SELECT word, v FROM barer{tag} UNION ALL SELECT word, v FROM bare{tag} WHERE word NOT IN (SELECT word FROM less{tag}))
+), {name} AS (
+  SELECT s.word, normal, coalesce(CASE WHEN length(v) > 4 THEN regexp_replace(v, '^(.*?)gege', '\\1ge') ELSE v END, term) AS term FROM {source} s LEFT JOIN ungrouped{tag} u ON u.word = s.term)"""
+
+
 TERMS = f"""{ARTICLES}, {STOP}, {kept('article', 'id')}, {STEMS}, tok AS (
   SELECT doc_id, pos, term FROM kept JOIN stem USING (word)
 ), posting AS (
@@ -54,6 +89,10 @@ TERMS = f"""{ARTICLES}, {STOP}, {kept('article', 'id')}, {STEMS}, tok AS (
   SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM posting GROUP BY term
 )"""
 
+#: The same with both stemmers.
+FULL_STEMS = STEMS.replace("stem AS (", "light AS (") + ", " + second_stems("light", "stem")
+FULL_TERMS = TERMS.replace(STEMS, FULL_STEMS)
+
 
 def scores(name: str, terms: dict[str, int], where: str = "") -> str:
     """BM25 of one query as a CTE."""
@@ -116,22 +155,22 @@ HEAD = f"""head AS (
 CLEAN_ONLY = CLEAN.removeprefix(f"{ARTICLES}, ")
 
 
-def stems_of(source: str, tag: str) -> str:
+def stems_of(source: str, tag: str, full: bool = False) -> str:
     """STEMS over the words of another CTE, under names of its own."""
     text = STEMS.replace("FROM kept", f"FROM {source}")
     for name in ("spelled", "once", "stem"):
         text = text.replace(f"{name} AS (", f"{name}_{tag} AS (").replace(f"FROM {name}", f"FROM {name}_{tag}")
-    return text
+    return text.replace(f"stem_{tag} AS (", f"light_{tag} AS (") + ", " + second_stems(f"light_{tag}", f"stem_{tag}", f"_{tag}") if full else text
 
 
-def hit_snippets(results: str, terms: str, tag: str) -> str:
+def hit_snippets(results: str, terms: str, tag: str, full: bool = False) -> str:
     """CTEs up to shown_<tag>(doc_id, snippet): snippets of the documents of ``results`` for the terms of the CTE ``terms``."""
     return rf"""win_{tag} AS (SELECT doc_id, t[1:10000] AS t FROM clean WHERE doc_id IN (SELECT doc_id FROM {results}) AND length(t) > 0
 ), split_{tag} AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM win_{tag}
 ), piece_{tag} AS (SELECT doc_id, t, unnest(list_concat(w[1:499], CASE WHEN len(w) > 499 THEN [array_to_string(w[500:], ' ')] ELSE [] END)) AS p, unnest(range(least(len(w), 500))) AS o FROM split_{tag}
 ), said_{tag} AS (SELECT doc_id, t, p, o, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, regexp_extract_all(lower(p), '{WORD}') AS w FROM piece_{tag})
 ), first_{tag} AS (SELECT doc_id, any_value(t) AS t, any_value(p) AS p, o, arg_min(word, k) AS word FROM said_{tag} WHERE word NOT IN (SELECT w FROM stop) GROUP BY doc_id, o
-), {stems_of(f'first_{tag}', tag)}, hit_{tag} AS (
+), {stems_of(f'first_{tag}', tag, full)}, hit_{tag} AS (
   SELECT doc_id, any_value(t) AS t, arg_min(p, o) AS p FROM first_{tag} JOIN stem_{tag} USING (word) WHERE term IN (SELECT term FROM {terms}) GROUP BY doc_id
 ), placed_{tag} AS (SELECT doc_id, t, instr(t, p) - 1 AS p FROM hit_{tag}
 ), near_{tag} AS (SELECT *, {last_blank('t', '(p - 100)')} + 1 AS near FROM placed_{tag}
@@ -195,6 +234,13 @@ SQL = {
     "stop_words": f"WITH {STOP} SELECT w AS word FROM stop",
     "stopword_filter": f"WITH {STOP}, {kept('documents', 'doc_id')} SELECT doc_id, pos, word FROM kept",
     "stem_light": f"WITH {ARTICLES}, {STOP}, {kept('article', 'id')}, {STEMS} SELECT word, normal, term FROM stem",
+    "stem_full": f"WITH RECURSIVE {ARTICLES}, {STOP}, {kept('article', 'id')}, {FULL_STEMS} SELECT word, term FROM stem",
+    "keyword_full": f"""WITH RECURSIVE {FULL_TERMS}, {CLEAN_ONLY}, {HEAD}, asked AS (SELECT term, count(*) AS qf FROM (SELECT unnest(['brücke', 'siedlung', 'brücke']) AS word) JOIN stem USING (word) GROUP BY term
+), {scored('s', 'asked')}, place AS (SELECT unnest(['brücke', 'siedlung', 'brücke']) AS word, unnest([0, 1, 2]) AS o
+), whole AS (
+  SELECT doc_id FROM (SELECT doc_id, pos - o AS start FROM tok JOIN (SELECT term, o FROM place JOIN stem USING (word)) USING (term)) GROUP BY doc_id, start HAVING count(*) = 3
+), best AS (SELECT doc_id, score, row_number() OVER (ORDER BY doc_id NOT IN (SELECT doc_id FROM whole), score DESC, doc_id)::INTEGER AS rank FROM s QUALIFY rank <= 10), {hit_snippets('best', 'asked', 'k', True)}
+SELECT rank, best.doc_id, round(score, 6) AS score, title, snippet FROM best JOIN article ON id = best.doc_id LEFT JOIN shown_k ON shown_k.doc_id = best.doc_id""",
     "postings": f"WITH {TERMS} SELECT term, doc_id, count(*)::INTEGER AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY ALL",
     "posting_lists": f"""WITH {TERMS}, line AS (SELECT term, doc_id, doc_id::VARCHAR || ':' || string_agg(pos::VARCHAR, ',' ORDER BY pos) AS e FROM tok GROUP BY term, doc_id)
 SELECT term, doc_id // 10000 AS part, string_agg(e, ';' ORDER BY doc_id) AS line FROM line GROUP BY ALL""",
