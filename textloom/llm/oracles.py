@@ -37,6 +37,45 @@ LEAKS = r"""d AS (
   SELECT doc_id, n, unnest([array_to_string(w[i : i + n - 1], ' ') FOR i IN range(1, len(w) - n + 2)]) AS p, unnest(range(len(w) - n + 1)) AS a FROM d, size WHERE len(w) >= n
 ), hit AS (SELECT DISTINCT item_id, doc_id, a, a + n AS b FROM phrase JOIN run USING (n, p))"""
 
+
+
+def pairs(width: int, similar: str) -> str:
+    """CTEs up to pair(a, b, similarity): texts that are alike, copies standing in as their least id."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return rf"""{ARTICLES}, words AS (
+  SELECT id, min(id) OVER (PARTITION BY lower(title || ' ' || text)) AS rep, regexp_extract_all(lower(title || ' ' || text), '[\p{{L}}\p{{N}}]+') AS w FROM article
+), shingle AS (
+  SELECT DISTINCT id, unnest([{run} FOR i IN range(1, len(w) - {width - 2})]) AS s FROM words WHERE id = rep AND len(w) >= {width}
+), size AS (SELECT id, count(*) AS n FROM shingle GROUP BY id
+), common AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.id < b.id GROUP BY ALL
+), pair AS (
+  SELECT common.a, common.b, common.n / (x.n + y.n - common.n) AS similarity FROM common JOIN size x ON x.id = common.a JOIN size y ON y.id = common.b
+  WHERE common.n * 10 >= {similar} * (x.n + y.n - common.n)
+)"""
+
+
+#: Places where long texts may be cut, and how good a place each is.
+CUTS = r"""long AS (SELECT id, text, length(text) AS n FROM article WHERE length(text) > 4000
+), parts AS (
+  SELECT id, unnest(regexp_extract_all(text, '\S+|\s+')) AS part, unnest(range(len(regexp_extract_all(text, '\S+|\s+')))) AS k FROM long
+), placed AS (
+  SELECT *, (sum(length(part)) OVER (PARTITION BY id ORDER BY k))::BIGINT AS after, lag(part) OVER (PARTITION BY id ORDER BY k) AS before FROM parts
+), gap AS (SELECT id, part, before, after - length(part) AS p, after AS q FROM placed WHERE regexp_matches(part, '^\s')
+), cut AS (
+  SELECT id, q AS pos, 1 AS level FROM gap
+  UNION ALL SELECT id, p + 1, 2 FROM gap WHERE before[-1] IN (',', ':')
+  UNION ALL SELECT id, p + 1, 3 FROM gap WHERE before[-1] = ';'
+  UNION ALL SELECT id, q, 4 FROM gap WHERE regexp_matches(before, '[.!?…]["''»“)\]]*$')
+  UNION ALL SELECT id, p + i, 5 FROM (SELECT id, p, part, unnest(range(1, length(part) + 1)) AS i FROM gap) WHERE part[i] = chr(10)
+  UNION ALL SELECT id, p + length(regexp_extract(part, '^.*\n[^\S\n]*\n+')), 6 FROM gap WHERE regexp_matches(part, '\n[^\S\n]*\n')
+), best AS (SELECT id, pos, max(level) AS level FROM cut GROUP BY ALL
+), piece(id, piece, start, new_from, stop, text, n) AS (
+  SELECT id, 0, 0::BIGINT, 0::BIGINT, coalesce((SELECT max(level::BIGINT * 1000000000 + pos) % 1000000000 FROM best WHERE best.id = long.id AND pos BETWEEN 2000 AND 4000), 4000), text, n FROM long
+  UNION ALL
+  SELECT id, piece + 1, s, stop, CASE WHEN n - s <= 4000 THEN n ELSE coalesce((SELECT max(level::BIGINT * 1000000000 + pos) % 1000000000 FROM best WHERE best.id = x.id AND pos BETWEEN greatest(s + 2000, stop + 1) AND s + 4000), s + 4000) END, text, n
+  FROM (SELECT *, coalesce((SELECT min(q) FROM gap WHERE gap.id = piece.id AND q >= greatest(start + 1, stop - 200) AND q < stop), greatest(start + 1, stop - 200)) AS s FROM piece WHERE stop < n) x
+)"""
+
 SQL = {
     "p3_found": f"""WITH {COUNTS}, scored AS (
   SELECT id, term, tf * ln((SELECT count(*) FROM article)::DOUBLE / records) AS score FROM tf JOIN counts USING (term) WHERE records >= 2
@@ -59,6 +98,17 @@ SELECT id, term, tf, occurrences, records, round(z, 6) AS z FROM scored JOIN bes
   SELECT a.id AS id_a, b.id AS id_b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.id < b.id GROUP BY ALL
 )
 SELECT id_a, id_b FROM common JOIN size a ON a.id = id_a JOIN size b ON b.id = id_b WHERE common.n * 10 >= 6 * (a.n + b.n - common.n)""",
+    "p4_pairs": f"WITH {pairs(3, '6')} SELECT a, b, similarity FROM pair",
+    "p4_groups": f"""WITH RECURSIVE {pairs(5, '8')}, both_ways AS (SELECT a AS x, b AS y FROM pair UNION SELECT b, a FROM pair
+), reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y
+), grp AS (SELECT x, min(y) AS g FROM reach GROUP BY x), link AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
+SELECT id, coalesce(g, rep) AS group_id, coalesce(n, 0) AS n_links FROM words LEFT JOIN grp ON grp.x = rep LEFT JOIN link ON link.x = rep""",
+    "p6_pieces": f"""WITH RECURSIVE {ARTICLES}, {CUTS}
+SELECT id, piece, start, new_from, stop AS end, text[start + 1 : stop] AS content FROM piece""",
+    "p6_tiling": f"WITH {ARTICLES} SELECT id, md5(text) AS digest, true AS within, true AS overlaps FROM article WHERE length(text) > 4000",
+    "p9_limits": """WITH t AS (SELECT source, max(target_share) AS share FROM mix_target WHERE source IS NOT NULL GROUP BY source
+), n AS (SELECT source, count(*) AS documents FROM documents WHERE length(text) > 0 GROUP BY source)
+SELECT source, coalesce(documents, 0)::BIGINT AS documents, true AS within, true AS reached FROM t LEFT JOIN n USING (source)""",
     "p5_found": rf"""WITH RECURSIVE {ARTICLES}, node AS (
   SELECT id, {KEY.format('title')} AS k, {KEY.format('redirect._title')} AS r FROM current_rows WHERE length(title) > 0
 ), keys AS (SELECT k, min(id) AS v FROM node GROUP BY k

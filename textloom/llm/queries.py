@@ -70,6 +70,15 @@ def p6_found(spark, folder):
     return p6_pieces(spark, folder).select("id").distinct()
 
 
+def p6_tiling(spark, folder):
+    """Of each text cut up: the digest of its new parts put together again, whether every piece is within the limit, and every overlap."""
+    each = p6_pieces(spark, folder).withColumn("fresh", F.expr("substring(content, new_from - start + 1, length(content))"))
+    whole = each.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("piece", "fresh"))).alias("ps"), (F.max(F.length("content")) <= 4000).alias("within"), (F.max(F.expr("new_from - start")) <= 200).alias("overlaps")
+    )
+    return whole.select("id", F.md5(F.concat_ws("", F.transform("ps", lambda p: p["fresh"]))).alias("digest"), "within", "overlaps")
+
+
 def p7_terms(spark, folder):
     page = table(spark, folder, "page")
     n = pages.articles(page, one=F.lit(1)).agg(F.count(F.lit(1))).scalar()
@@ -96,6 +105,18 @@ def p9_shares(spark, folder):
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
 
 
+def p9_limits(spark, folder):
+    """Of each source: its documents, whether no record is used more often than it may be, and whether its share is reached."""
+    targets = table(spark, folder, "mix_target")
+    used, shares = mixing.mix(table(spark, folder, "documents"), targets)
+    most = used.groupBy("source").agg(F.max("copies").alias("most"), F.count_distinct("doc_id").alias("ids"), F.count(F.lit(1)).alias("rows"))
+    there = shares.agg(F.sum(F.when(F.col("documents") > 0, F.col("target_share")))).scalar()
+    wanted = F.when(F.col("documents") > 0, F.col("target_share") / there).otherwise(F.lit(0.0))
+    rows = shares.join(most, "source", "left")
+    within = F.coalesce((F.col("most") <= F.col("max_repeats")) & (F.col("ids") == F.col("rows")), F.lit(True))
+    return rows.select("source", "documents", within.alias("within"), (F.abs(F.col("share") - wanted) <= 0.01).alias("reached"))
+
+
 def p10_truncated(spark, folder):
     return truncation.truncated(table(spark, folder, "documents"))
 
@@ -108,4 +129,4 @@ def p10_rates(spark, folder):
     return truncation.rates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_clean, p2_found, p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_found, p7_terms, p7_found, p8_spans, p8_found, p9_mix, p9_shares, p10_truncated, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_clean, p2_found, p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_tiling, p6_found, p7_terms, p7_found, p8_spans, p8_found, p9_mix, p9_shares, p9_limits, p10_truncated, p10_found, p10_rates)}
