@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import largest_partition
 from textloom import queries
 from textloom.config import Settings
+from textloom.functions import analyzer
 from textloom.operators import index as ix
 from textloom.operators import ranking, setqueries, skew
 from textloom.operators.numbering import numbered
@@ -294,3 +295,17 @@ def test_a_word_of_every_document_is_spread(spark, no_skew_join):
     docs = ix.documents(spark.createDataFrame([(k, "T", f"alle w{k}") for k in range(4000)], SCHEMA).repartition(8))
     joined = skew.salted_join(ix.words(docs, ix.Analysis([], ())), spark.createDataFrame([("alle", 1)], "word string, x int"), "word", "doc_id")
     assert joined.count() == 4000 and largest_partition(joined) < 2000
+
+
+@pytest.mark.parametrize("steps", [(), analyzer.LIGHT, analyzer.FULL])
+def test_likely_first_terms(spark, steps):
+    """What the look at first letters leaves out is no query term."""
+    analysis = ix.Analysis(["der"], steps)
+    texts = ["Öfen", "öfen", "der-Ofen", "Ähre 1", "ßa", "Schule", "schön", "Überfluss", "ueber", "éa", "12,5", "d.h.", "x(Ofen)", "_Ofen", "Straße", "", "..."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    terms = [r.x for r in rows.select(F.explode(F.transform(analysis.words(F.col("t")), analysis.term)).alias("x")).distinct().collect()]
+    full = F.try_element_at(F.transform(analysis.words(F.col("t")), analysis.term), F.lit(1))
+    for some in ([t] for t in terms):
+        got = rows.select(full.alias("a"), analysis.first_likely(F.col("t"), some).alias("b")).collect()
+        assert all((r.a in some) == (r.b in some) for r in got)
+    assert rows.select(analysis.first_likely(F.col("t"), []).alias("b")).filter("b IS NOT NULL").count() == 0

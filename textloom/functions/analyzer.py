@@ -20,6 +20,8 @@ WORD = r"(?:\p{L}[\p{L}\p{M}]*(?:[.:'’·]\p{L}[\p{L}\p{M}]*)*|\p{N}+(?:[.,;'
 ENDING = "bdfghklmnt"
 #: Fixed values of light stemming: accented letters and what they count as.
 ACCENTS = ("äàáâöòóôïìíîüùúû", "aaaaooooiiiiuuuu")
+#: First letters of words and of their terms, where they differ.
+FIRST = (ACCENTS[0] + "ß", ACCENTS[1] + "s")
 #: Fixed values of the second stemmer: letter groups that count as one letter.
 GROUPS = (("sch", "$"), ("ch", "§"), ("ei", "%"), ("ie", "&"), ("ig", "#"), ("st", "!"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import analyzer, wikitext
+from textloom.functions.bind import let
 from textloom.operators.skew import salted_join
 
 PARTS = ("documents", "postings", "vocabulary", "links", "stats")
@@ -27,6 +29,13 @@ class Analysis:
     def term(self, word):
         return analyzer.term(word, self.steps)
 
+    def first_likely(self, text, terms: list[str]):
+        """The first term of a text if it can be one of ``terms``, else mostly null: no step changes a word's first letter but for its accent, so most texts need not be analysed."""
+        letters = sorted({t[0] for t in terms if t})
+        accented = "".join(a for a, b in zip(*analyzer.FIRST) if b in letters)
+        begins = F.lit(rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}])[{re.escape(''.join(letters) + accented)}]") if letters else F.lit("(?!)")
+        return F.when(F.rlike(text, begins), let(F.try_element_at(self.words(text), F.lit(1)), self.term))
+
     def terms(self, spark: SparkSession, text: str) -> list[str]:
         """Terms of a short text, such as a query, in order. A local row, which the optimizer folds without a job."""
         if text not in self.known:
@@ -45,6 +54,7 @@ class Index:
     links: DataFrame
     stats: DataFrame
     analysis: Analysis
+    wiki: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -120,7 +130,7 @@ def build(rows: DataFrame, analysis: Analysis, *, wiki: bool = True) -> Index:
     """The index of (doc_id, title, text) rows, not yet written."""
     docs = documents(rows, wiki=wiki)
     lists = postings(docs, analysis)
-    return Index(docs, lists, vocabulary(lists), links(docs), stats(docs), analysis)
+    return Index(docs, lists, vocabulary(lists), links(docs), stats(docs), analysis, wiki)
 
 
 def save(index: Index, folder: str) -> None:
@@ -130,7 +140,9 @@ def save(index: Index, folder: str) -> None:
     query reads the row groups of its terms and of the documents it shows only;
     a term that is everywhere spans several files.
     """
-    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/documents")
+    # texts are cleaned after they have moved: ranges are found by a run over what is moved, which would clean them, too
+    rows = index.documents.select("doc_id", "title", "text", "seq").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    documents(rows, wiki=index.wiki).write.mode("overwrite").parquet(f"{folder}/documents")
     docs = index.spark.read.parquet(f"{folder}/documents")
     postings(docs, index.analysis).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     lists = index.spark.read.parquet(f"{folder}/postings")

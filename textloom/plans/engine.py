@@ -56,6 +56,8 @@ def ranked(index: ix.Index, tree: parser.Keyword, k: int, prf: int = 0, settings
             if whole.limit(k).count() < k:
                 first = first.unionByName(rows.join(whole, "doc_id", "left_anti"))
             return numbered(first, k)
+        if allowed is None:
+            return numbered(scored.join(whole.withColumn("tier", F.lit(0)), "doc_id", "left").withColumn("tier", F.coalesce("tier", F.lit(1))), k)
         first = ranking.scores(index.postings, index.vocabulary, index.stats, terms, settings).join(whole, "doc_id", "left_semi")
         rows = rows.unionByName(first.withColumn("tier", F.lit(0))).groupBy("doc_id").agg(F.min("tier").alias("tier"), F.max("score").alias("score"))
     return numbered(rows, k)
@@ -85,7 +87,7 @@ def answers(index: ix.Index, results: DataFrame, terms: list[str], settings: Set
         results = index.spark.createDataFrame(rows, "rank int, doc_id long, score double")
         docs = F.broadcast(docs.filter(F.col("doc_id").isin([r.doc_id for r in rows])))
     with_text = results.join(docs, "doc_id", "left")
-    first = lambda piece: index.analysis.term(F.try_element_at(index.analysis.words(piece), F.lit(1)))
+    first = lambda piece: index.analysis.first_likely(piece, terms)
     wanted = F.array(*map(F.lit, terms)).cast("array<string>")
     return with_text.select("rank", "doc_id", "score", "title", snippet(F.col("clean_text"), first, wanted, settings).alias("snippet"))
 
