@@ -20,6 +20,7 @@ def elements(text):
         ("# Erster\n# Zweiter", [("item", "Erster"), ("item", "Zweiter")]),
         ("Siehe [auch](http://b.example)\n=====\n\n**Aufbau**\n-----", [("heading", "Siehe auch"), ("heading", "Aufbau")]),
         ("Text.\n\n----\n\nText.", []),
+        ("`Umland`\n----\n\n<!-- x -->Ort `a`\n===\n\n<pre>b</pre>\n----\n$c$\n----", [("heading", "Umland"), ("heading", "Ort a"), ("code", "b"), ("formula", "c")]),
         ("* a\n** b\n*c\n:* d\n:*e", [("item", x) for x in "abcde"]),
         ("- a\n+ `b` c\n1. d\n2) *e* f", [("item", "a"), ("item", "b c"), ("item", "d"), ("item", "e f")]),
         ("<h2 id='s'>\n  Fluss <a href='/w'>der</a> Stadt\n</h2>", [("heading", "Fluss der Stadt")]),

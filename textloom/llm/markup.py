@@ -225,6 +225,10 @@ class Reader:
             text = KEPT.sub(lambda m: (formula if self.kept[int(m[1])][1] else "{}").format(self.shown[int(m[1])]), text)
         return one_line(text)
 
+    def worded(self, row: str) -> bool:
+        """Whether a row says something beside code, formulas and what is left out."""
+        return bool(KEPT.sub(lambda m: "" if self.kept[int(m[1])][1] else self.shown[int(m[1])], row).strip())
+
     def lines(self, text: str) -> None:
         rows = text.split("\n")
         k = 0
@@ -244,7 +248,7 @@ class Reader:
                 self.leaf("body/h2", HEADING, self.inline(m[1] or m[2] or ""))
                 continue
             item = None if EMPHASIS.match(row) else LIST_ITEM.match(row)
-            if item is None and k < len(rows) and rows[k][:1] in ("=", "-") and UNDERLINE.match(rows[k]) and first not in "=-|!{<\x02\x03":
+            if item is None and k < len(rows) and rows[k][:1] in ("=", "-") and UNDERLINE.match(rows[k]) and first not in "=-|!{<\x03" and (first != "\x02" or self.worded(row)):
                 self.leaf("body/h2", HEADING, self.inline(row))
                 k += 1
                 continue

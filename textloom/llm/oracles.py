@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import oracle_truncation
+from textloom.llm import oracle_markup, oracle_truncation
 
 #: Shared head: current rows and articles.
 ARTICLES = r"""current_rows AS (
@@ -137,4 +137,5 @@ SELECT item_id, doc_id, first_word, end_word,
   CASE WHEN len(raw.w) = n THEN (list_sum(gap[1:end_word]) + list_sum(raw.w[1:end_word]))::INTEGER ELSE -1 END AS end
 FROM span JOIN raw USING (doc_id)""",
     **oracle_truncation.SQL,
+    **oracle_markup.queries(ARTICLES),
 }

@@ -23,6 +23,11 @@ def p2_found(spark, folder):
     return markup.elements(article_texts(spark, folder)).select("id", "kind", "content").distinct()
 
 
+def p2_structure(spark, folder):
+    """How many elements of each kind an article has, repeats counted."""
+    return markup.elements(article_texts(spark, folder)).groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p3_terms(spark, folder, by="z"):
     return distinctive.distinctive(pages.article_buckets(table(spark, folder, "page")), by=by)
 
@@ -129,4 +134,4 @@ def p10_rates(spark, folder):
     return truncation.rates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_clean, p2_found, p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_tiling, p6_found, p7_terms, p7_found, p8_spans, p8_found, p9_mix, p9_shares, p9_limits, p10_truncated, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_clean, p2_found, p2_structure, p3_log_odds, p3_found, p4_pairs, p4_found, p4_groups, p5_found, p6_pieces, p6_tiling, p6_found, p7_terms, p7_found, p8_spans, p8_found, p9_mix, p9_shares, p9_limits, p10_truncated, p10_found, p10_rates)}
