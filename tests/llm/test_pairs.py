@@ -241,6 +241,10 @@ def test_mix(spark, monkeypatch):
     # a size that a source can't reach within its repeats
     _, short = mixing.mix(df, targets, total=10 * sum(r.tokens for r in rows))
     assert {r.source: r.copies for r in short.collect()}["klein"] == 4 * 60
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    with pytest.raises(ValueError):
+        mixing.mix(df, targets)
+    monkeypatch.setattr(mixing, "SOURCES", 4)
     empty, none = mixing.mix(df.filter("false"), targets)
     assert empty.count() == 0 and {r.share for r in none.collect()} == {0.0}
 

@@ -16,6 +16,8 @@ from textloom.operators.staging import written
 
 #: Records that one flight balances at once.
 BLOCK = 4096
+#: Sources with a target that one mix may have: so many rows are planned in the driver and sent to all tasks.
+SOURCES = 10_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the texts of this vocabulary are split before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -108,14 +110,19 @@ def mix(documents: DataFrame, targets: DataFrame, *, total: float | None = None,
     source without target, or without tokens are not used. ``shares``:
     (source, target_share, max_repeats, documents, available, used, copies,
     tokens, share); sources without documents show zeros. Equal texts are
-    records of their own. Runs jobs when it is called.
+    records of their own. More than SOURCES sources with a target are an
+    error. Runs jobs when it is called.
     """
     share, cap = F.max(F.col("target_share").cast("double")), F.max(F.col("max_repeats").cast("int"))
     kinds = targets.filter("source IS NOT NULL").groupBy("source").agg(F.coalesce(share, F.lit(0.0)).alias("target_share"), F.coalesce(cap, F.lit(0)).alias("max_repeats"))
+    wanted = kinds.limit(SOURCES + 1).collect()
+    if len(wanted) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources with a target")
+    spark = documents.sparkSession
+    kinds = spark.createDataFrame(wanted, "source string, target_share double, max_repeats int")
     counted = written(token_counts(documents.join(F.broadcast(kinds.select("source")), "source", "left_semi"), tokenizer).filter("tokens > 0"))
     sums = counted.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()  # a row per target source
-    uses = plan(sums, kinds.collect(), total)
-    spark = documents.sparkSession
+    uses = plan(sums, wanted, total)
     rate = spark.createDataFrame(uses, "source string, uses double")
     rows = counted.join(F.broadcast(rate), "source").withColumn("base", F.floor("uses").cast("int"))
     state = rows.select("doc_id", "source", "tokens", "base", (F.col("uses") - F.col("base")).alias("chance"))
@@ -150,6 +157,6 @@ def flown(state: DataFrame, blocks: dict[str, int], seed: int, land: bool) -> Da
         rng = np.random.default_rng(xxhash.xxh3_64_intdigest(f"{seed} {key[0]} {key[1]}"))
         return rows.drop(columns="block").assign(chance=flight(rows["chance"].to_numpy(), rows["tokens"].to_numpy(), rng, land))
 
-    n = F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))[F.col("source")] if blocks else F.lit(1)
-    placed = state.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n))
+    n = state.sparkSession.createDataFrame(list(blocks.items()), "source string, _blocks long")  # a row per target source
+    placed = state.join(F.broadcast(n), "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_blocks"))).drop("_blocks")
     return placed.groupBy("source", "block").applyInPandas(run, "doc_id long, source string, tokens long, base int, chance double")
