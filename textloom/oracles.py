@@ -227,6 +227,9 @@ def dcg(g: str, rank: str) -> str:
     return f"(1 + CASE WHEN {rank} = 1 THEN {gain} ELSE {gain} / ln({rank}::DOUBLE) END)"
 
 
+GOLD = """SELECT query, row_number() OVER (PARTITION BY query ORDER BY gold_rank, translate(title, '"', ''))::INTEGER AS rank, translate(title, '"', '') AS title
+FROM gold_ranking WHERE query IS NOT NULL AND title IS NOT NULL AND gold_rank IS NOT NULL"""
+
 SQL = {
     "articles": f"WITH {ARTICLES} SELECT id AS doc_id, title, {key('title')} AS norm_title, length(text)::INTEGER AS chars FROM article",
     "title_norms": f"SELECT DISTINCT title, {key('title')} AS norm_title FROM page",
@@ -302,8 +305,8 @@ SELECT doc_id, snippet FROM made UNION ALL SELECT doc_id, snippet FROM headed WH
     "answer_titles": f"WITH {CLEAN}, {HEAD} SELECT doc_id, title || chr(10) || snippet AS answer, string_split(title, chr(10))[1] AS title FROM headed JOIN article ON id = doc_id",
     "link_query": f"""WITH {LINKS}, bearer AS (SELECT {key('title')} AS n, max(id) AS doc_id FROM article GROUP BY 1)
 SELECT doc_id, min(source_norm) AS source_norm FROM links JOIN bearer ON n = source_norm WHERE target_norm = 'großraumnorderwiek' GROUP BY doc_id""",
-    "gold_extract": """SELECT query, row_number() OVER (PARTITION BY query ORDER BY gold_rank, translate(title, '"', ''))::INTEGER AS rank, translate(title, '"', '') AS title
-FROM gold_ranking WHERE query IS NOT NULL AND title IS NOT NULL AND gold_rank IS NOT NULL""",
+    "gold_extract": GOLD,
+    "gold_kept": GOLD,
     "ndcg": f"""WITH {ASKED}, hit AS (
   SELECT query_id, result_rank AS rank, min(title) AS title FROM search_result WHERE query_id IS NOT NULL AND result_rank IS NOT NULL AND title IS NOT NULL GROUP BY ALL
 ), best AS (SELECT query_id, title, min(gold_rank) AS g FROM asked JOIN gold_ranking USING (query) WHERE title IS NOT NULL AND gold_rank IS NOT NULL GROUP BY ALL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -267,6 +268,16 @@ def gold_extract(spark, folder):
     return readers.gold_titles(result_pages(spark, folder))
 
 
+def gold_kept(spark, folder):
+    """The same from where they are kept, once they were asked for."""
+    from textloom.operators.staging import shared_folder
+
+    path = f"{shared_folder(spark)}/gold-{uuid4().hex}"
+    asked = result_pages(spark, folder)
+    readers.gold_cached(asked, path)
+    return readers.gold_cached(asked, path)
+
+
 def ndcg(spark, folder):
     """Quality of the logged hits of every query at its own cut, against the gold ranking of its text."""
     asked = logged_queries(spark, folder)
@@ -323,12 +334,12 @@ def argument_guards(spark, folder):
 
 
 def head_sample(spark, folder):
-    """The first lines of a text file: here of one with a title per line."""
+    """The first lines of a text file: here of one with the titles of the first articles, one to a line."""
     from textloom.operators.staging import shared_folder
 
     titles = pages.articles(table(spark, folder, "page"), title=F.col("title")).filter(~F.contains("title", F.lit("\n")))
     path = f"{shared_folder(spark)}/titles-{spark.sparkContext.applicationId}"
-    titles.orderBy("id").select("title").coalesce(1).write.mode("overwrite").text(path)
+    titles.orderBy("id").limit(2001).select("title").coalesce(1).write.mode("overwrite").text(path)
     return readers.head(spark, path, 101)
 
 
@@ -337,7 +348,7 @@ QUERIES = {
     for f in (
         articles, title_norms, tokenize, stop_words, stopword_filter, stem_light, stem_full, postings, posting_lists, posting_round_trip, vocabulary_df,
         corpus_stats, df_cutoff, bm25_topk, bm25_restricted, bm25_union, query_types, bm25_batch, prf_terms, bm25_prf, keyword_pipeline, keyword_full,
-        strict_boolean, snippet_head, snippet_hit, clean_markup, link_extract, link_lists, link_round_trip, link_query, operator_strip, answer_titles, gold_extract, ndcg, xml_pages, index_round_trip,
+        strict_boolean, snippet_head, snippet_hit, clean_markup, link_extract, link_lists, link_round_trip, link_query, operator_strip, answer_titles, gold_extract, gold_kept, ndcg, xml_pages, index_round_trip,
         evaluation, unranked_limit, empty_restriction, argument_guards, head_sample, p1_found, p1_summary, p1_percentiles,
     )
 } | {
