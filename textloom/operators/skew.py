@@ -69,7 +69,7 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "i
     return light.join(renamed, same(light, renamed, "_side_{}"), how).select(*out).unionByName(hot.join(F.broadcast(few), same(hot, few, "_side_{}"), how).select(*out))
 
 
-def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFrame:
+def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``side`` on ``key``, each key cut into places by a hash of ``by``, and ``side`` repeated for each place.
 
     For rows far more numerous than ``side``, in which a key may be in every
@@ -80,7 +80,7 @@ def salted_join(rows: DataFrame, side: DataFrame, key: str, by: str) -> DataFram
     places = max(16, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 150))
     cut = rows.withColumn("_place", F.pmod(F.xxhash64(by), F.lit(places)))
     each = side.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)).cast("array<bigint>")))
-    return cut.join(each, [key, "_place"]).drop("_place")
+    return cut.join(each, [key, "_place"], how).drop("_place")
 
 
 def key_percentiles(pairs: DataFrame, key: str, value: str, at: list[float], *, splits: int = 256) -> DataFrame:
