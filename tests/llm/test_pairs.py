@@ -61,9 +61,20 @@ def test_pairs(near):
 def test_candidates_of_a_hot_band(spark, monkeypatch):
     monkeypatch.setattr(nearduplicates, "HOT", 4)
     bands = {1: range(30), 2: [5, 6], 3: [7], 4: [40, 41, 42, 43, 44]}
-    rows = spark.createDataFrame([(b, i, 9) for b, ids in bands.items() for i in ids], "band long, id long, n int")
-    got = sorted(map(tuple, nearduplicates.candidates(rows).collect()))
-    assert got == sorted({(i, j) for ids in bands.values() for i in ids for j in ids if i < j})
+    # rows of a hot band need not all be told to be hot; others may be by chance
+    for told in ({1}, set(bands), set(), {"some"}):
+        rows = [(b, i, 9, b in told or told == {"some"} and i % 3 == 0) for b, ids in bands.items() for i in ids]
+        got = sorted(map(tuple, nearduplicates.candidates(spark.createDataFrame(rows, "band long, id long, n int, hot boolean")).collect()))
+        assert got == sorted({(i, j) for ids in bands.values() for i in ids for j in ids if i < j})
+
+
+def test_a_common_band_is_hot():
+    texts = [f"eins zwei drei vier x{i}" for i in range(200)] + [f"w{i} v{i} u{i} t{i}" for i in range(200)]
+    batch = nearduplicates.pa.RecordBatch.from_arrays([nearduplicates.pa.array(range(400)), nearduplicates.pa.array(texts)], ["id", "text"])
+    (out,) = nearduplicates.band_rows(2, 16, 1)(iter([batch]))
+    rows = out.to_pandas()
+    times = rows.groupby("band")["id"].transform("count")
+    assert ((times >= 7) == rows["hot"]).all() and rows["hot"].any() and not rows.loc[rows["id"] >= 200, "hot"].any()
 
 
 def test_groups(near):

@@ -20,6 +20,8 @@ from textloom.operators.staging import written
 CHUNK, KNOWN = 200_000, 1_000_000
 #: Records of a band, or copies of a text, that meet in one slice of it; places over which a band is spread at least.
 HOT, SPREAD = 256, 16
+#: A band that a COMMON-th of some records have is spread.
+COMMON = 64
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -31,7 +33,11 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def band_rows(width: int, n_bands: int, rows: int):
-    """(id, text) to (band, id, n), a row per band, n: its different runs; records without a single run of ``width`` words give none."""
+    """(id, text) to (band, id, n, hot), a row per band; records without a single run of ``width`` words give none.
+
+    n: different runs of the record; hot: whether more than a COMMON-th of the
+    records it was worked on with, and two at least, have the band.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -46,7 +52,9 @@ def band_rows(width: int, n_bands: int, rows: int):
                 table = signatures(np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes), len(ids), n_bands * rows)
                 out = bands(table, n_bands).view(np.int64).ravel()
                 each = [np.repeat(np.array(x), n_bands) for x in (np.array(ids, np.int64), np.array(sizes, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(out), *map(pa.array, each)], ["band", "id", "n"])
+                _, which, times = np.unique(out, return_inverse=True, return_counts=True)
+                hot = times[which] >= max(2, -(-len(ids) // COMMON))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (out, *each, hot)], ["band", "id", "n", "hot"])
 
         ids, sets, size = [], [], 0
         for batch in batches:
@@ -132,23 +140,28 @@ def slice_of(i: str, n: str) -> Column:
 
 
 def candidates(bands: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b), a < b, distinct: ids that share a band, of rows (band, id, n), but for those whose numbers n of runs alone keep the similarity under ``least``.
+    """(a, b), a < b, distinct: ids that share a band, of rows (band, id, n, hot), but for those whose numbers n of runs alone keep the similarity under ``least``.
 
-    Rows move once, by band and a hash of the id, so that a band with a third
-    of all records is spread (see ``places``). Bands are counted there and
-    summed up, and those of one record, nearly all, are out at once. A band of
+    Rows move once: by band, and where they are ``hot`` also by a hash of the
+    id, so that a band with a third of all records is spread (see ``places``).
+    A band is hot if any of its rows is; of these few bands the rows that are
+    not hot are told. All other bands are counted where they lie, and those of
+    one record, nearly all, are out at once. A band of
     more than HOT records is cut into slices of about HOT, and each two of its
     slices meet in a cell of their own; a smaller band is one cell. So no task
     holds more than two slices of a band at a time, and no pair is lost.
     """
     spread = places(bands)
-    place = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(spread)), F.lit(0)).cast("int")
-    rows = bands.filter("band IS NOT NULL AND id IS NOT NULL").withColumn("s", place).repartition("band", "s")
+    place = F.coalesce(F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(spread)) + 1), F.lit(0)).cast("int")
+    rows = bands.filter("band IS NOT NULL AND id IS NOT NULL").select("band", "id", "n", place.alias("s")).repartition("band", "s")
     # the count looks at the same columns as the join, so that the shuffle and what lies before it run once
     parts = rows.groupBy("band", "s").agg(F.count_if((F.col("id") >= F.lit(-(1 << 63))) & (F.col("n") >= 0)).alias("m"))
-    several = parts.groupBy("band").agg(F.sum("m").alias("m")).filter("m > 1")
-    everywhere = several.select("band", "m", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("s"))
-    shared = rows.join(everywhere, ["band", "s"]).select("band", "id", "n", slices("m").alias("of"), slice_of("id", "m").alias("slice"))
+    told = parts.filter("s > 0 OR m > 1")
+    hot = told.groupBy("band").agg(F.sum("m").alias("m"), F.max("s").alias("top")).filter("top > 0")
+    everywhere = hot.select("band", "m", F.explode(F.sequence(F.lit(0), F.lit(spread))).alias("s"))
+    told = told.select("band", "s", F.col("m").alias("here"))
+    several = told.join(everywhere, ["band", "s"], "full").select("band", "s", F.coalesce("m", "here").alias("m"))
+    shared = rows.join(several, ["band", "s"]).select("band", "id", "n", slices("m").alias("of"), slice_of("id", "m").alias("slice"))
     meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda x: F.struct(F.least(x, "slice").alias("x"), F.greatest(x, "slice").alias("y"))))
     cells = shared.select("band", meets.alias("cell"), F.struct("id", "n", "slice").alias("r")).groupBy("band", "cell").agg(F.collect_list("r").alias("rs"))
     each = cells.filter("size(rs) > 1").select("cell", "rs", F.explode("rs").alias("r"))
@@ -174,7 +187,7 @@ def alike(records: DataFrame, *, width: int = 5, least: float = 0.8, n_bands: in
     """
     texts = records.filter(F.length("text") > 0).select("id", "text")
     reps = texts.groupBy(*fingerprint()).agg(F.min("id").alias("id")).select("id")
-    bands = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long, n int")
+    bands = texts.join(reps, "id", "left_semi").mapInArrow(band_rows(width, n_bands, rows), "band long, id long, n int, hot boolean")
     pairs = candidates(bands, least)
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
