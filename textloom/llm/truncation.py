@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.skew import salted_join, spread_join
 from textloom.operators.staging import written
 
 #: Words, sentence ends, line ends.
@@ -133,24 +134,25 @@ def judged(
         found = sizes.join(all_, sizes["source"].eqNullSafe(all_["source"])).filter((F.col("count") >= limit_least) & (F.col("count") >= F.lit(limit_share) * F.col("of")))
         near = F.explode(F.sequence(F.col(k) - under, F.col(k))).alias(k)
         limits.append(found.select(F.coalesce(sizes["source"], F.lit("")).alias("source_"), near, F.lit(True).alias(f"at_{k}")).distinct())
-    # texts that end so without a stop, each different one once
-    tails = shape.filter("own = 1").select("a", "b", "c", "h").distinct().groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("ends", F.col("n"))
+    loose = shape.filter("last IS NOT NULL")
+    # each different end is judged once, however many copies it has
+    ends = loose.select("h", "a", "b", "c", "last", "own").distinct()
+    tails = ends.filter("own = 1").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n")).withColumn("ends", F.col("n"))
     whole = tri.select("a", "b", "c", "n", "ends").unionByName(tails).groupBy("a", "b", "c").agg(*sums)
-    out = shape.join(known(whole, 3), ["a", "b", "c"], "left")
-    out = out.join(known(whole.groupBy("b", "c").agg(*sums), 2), ["b", "c"], "left").join(known(whole.groupBy("c").agg(*sums), 1), ["c"], "left")
-    out = out.join(known(tri.groupBy("a", "b").agg(*sums), 0), ["a", "b"], "left")
-    out = out.join(begins, "last", "left").join(limits[0], ["source_", "chars"], "left").join(limits[1], ["source_", "bytes"], "left")
+    out = ends.join(known(whole, 3), ["a", "b", "c"], "left").join(known(whole.groupBy("b", "c").agg(*sums), 2), ["b", "c"], "left")
+    out = out.join(known(tri.groupBy("a", "b").agg(*sums), 0), ["a", "b"], "left").join(begins, "last", "left")
+    # some classes, as that of names, stand at the end of most texts
+    out = salted_join(out, known(whole.groupBy("c").agg(*sums), 1), "c", "h", "left")
     p3, p2, p1 = (f"CASE WHEN n{k} - own >= {least} THEN (ends{k} - own) / (n{k} - own) END" for k in (3, 2, 1))
     p0 = f"CASE WHEN n0 >= {least} THEN ends0 / n0 END"
-    part = "(part AND c <> '0')"
-    return out.select(
-        "doc_id", "source",
-        F.expr(
-            f"""CASE WHEN last IS NOT NULL AND NOT entry AND CASE WHEN {part} THEN coalesce({p0}, 1.0) ELSE coalesce({p3}, {p2}, {p1}, {p0}, 1.0) END
-                < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'trigram'
-                WHEN {part} THEN 'word' WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN sign THEN 'sign' END"""
-        ).alias("reason"),
-    )
+    part = F.coalesce(F.col("part") & (F.col("c") != "0"), F.lit(False)).alias("part")
+    rated = written(out.withColumn("part", part).select("h", "part", F.expr(f"CASE WHEN part THEN coalesce({p0}, 1.0) ELSE coalesce({p3}, {p2}, {p1}, {p0}, 1.0) END").alias("rate")))
+
+    marks = "WHEN stand_in THEN 'stand-in' WHEN open THEN 'open' WHEN sign THEN 'sign' END"
+    closed = shape.filter("last IS NULL").select("doc_id", "source", F.expr(f"CASE {marks}").alias("reason"))
+    each = spread_join(loose.drop("a", "b", "c", "last", "own"), rated, ["h"]).join(limits[0], ["source_", "chars"], "left").join(limits[1], ["source_", "bytes"], "left")
+    judgement = f"CASE WHEN NOT entry AND rate < CASE WHEN at_chars OR at_bytes THEN {rare_at_limit} ELSE {rare} END THEN 'trigram' WHEN part THEN 'word' {marks}"
+    return closed.unionByName(each.select("doc_id", "source", F.expr(judgement).alias("reason")))
 
 
 def quoted(pattern: str) -> str:
