@@ -74,8 +74,13 @@ def words(docs: DataFrame, analysis: Analysis, text: str = "text") -> DataFrame:
 
 
 def stems(occurring: DataFrame, analysis: Analysis) -> DataFrame:
-    """(word, term): every distinct word with its term, computed once."""
-    return occurring.select("word").distinct().select("word", analysis.term(F.col("word")).alias("term"))
+    """(word, term): every distinct word with its term, computed once.
+
+    The term looks at the count, so that a filter on terms is not moved to the
+    words in the texts, which would stem each of them.
+    """
+    once = occurring.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return once.select("word", analysis.term(F.when(F.col("n") > 0, F.col("word"))).alias("term"))
 
 
 def postings(docs: DataFrame, analysis: Analysis) -> DataFrame:
@@ -92,8 +97,8 @@ def postings(docs: DataFrame, analysis: Analysis) -> DataFrame:
 
 
 def vocabulary(lists: DataFrame) -> DataFrame:
-    """(term, df, cf)."""
-    return lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf). df looks at tf, so that it reads what the postings read: in one plan with them, both come from one shuffle."""
+    return lists.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf"))
 
 
 def links(docs: DataFrame, *, decode_urls: bool = False) -> DataFrame:
