@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import largest_partition
-from textloom.operators import pages, sizing, skew
+from textloom.operators import pages, sizing, skew, staging
 
 
 def rows(df):
@@ -107,3 +107,14 @@ def test_percentiles_of_a_hot_key_stay_spread(spark, no_skew_join):
     rows = spark.createDataFrame([("heiß" if i % 3 == 0 else f"k{i}", i) for i in range(9000)], "k string, v int")
     got = {(r.k, r.p): r.v for r in skew.key_percentiles(skew.compress(rows, "k", "v"), "k", "v", [0.5, 1.0]).collect()}
     assert got["heiß", 0.5] == 4497 and got["heiß", 1.0] == 8997 and got["k1", 0.5] == 1
+
+
+def test_written_tables_are_counted_even_if_empty(spark):
+    t = spark.range(5)
+    nothing = t.filter("false")
+    late = t.join(t.filter("id > 9").repartition(2).withColumnRenamed("id", "j"), F.col("id") == F.col("j"))
+    cases = ((t, 5), (nothing, 0), (late, 0), (late.groupBy("id").count(), 0), (nothing.agg(F.count("*").alias("n")), 1), (t.limit(0), 0), (t.unionAll(nothing).distinct(), 5), (spark.createDataFrame([], "a int"), 0))
+    for df, n in cases:
+        out = staging.written(df)
+        assert staging.counted(out) == n == out.count()
+    staging.discard(out)
