@@ -48,8 +48,13 @@ def counted(df: DataFrame) -> int:
 
 def discard(df: DataFrame) -> None:
     """Delete what ``written`` wrote; nothing may read it later."""
-    fs, path = _fs(df.sparkSession, df._stage)
-    fs.delete(path, True)
+    remove(df.sparkSession, df._stage)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def _fs(spark: SparkSession, path: str):
