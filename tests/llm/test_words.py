@@ -227,3 +227,25 @@ def test_word_test_does_not_depend_on_size(spark):
         rows += [(20_000, "* Am Ort un", "s"), (20_001, "* Am Ort am", "s")]
         got = {r.doc_id: r.reason for r in truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
         assert got == {20_000: "word"}
+
+
+def test_counts_stay_off_the_driver(spark):
+    """No table that grows with the texts is broadcast, however small the engine takes it to be: heavy ends, limits and sources only."""
+    letters = "abcdefghijklmnop"
+    words = [x + y + z for x in letters for y in letters for z in letters[:4]]
+    rows = [(i, f"Es {w} da.", "s") for i, w in enumerate(words)] + [(5000 + i, f"Es {w}", "s") for i, w in enumerate(words)]
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    found = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    bus.waitUntilEmpty()
+    assert {r.doc_id for r in found} == {5000 + i for i in range(len(words))}
+    sent, runs = [], store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(before, runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                ids = {m.name(): m.accumulatorId() for m in (node.metrics().apply(i) for i in range(node.metrics().size()))}
+                rows_sent = values.get(ids["number of output rows"])
+                sent.append(int(rows_sent.get().replace(",", "")) if rows_sent.isDefined() else 0)
+    assert sent and max(sent) < 100 < len(words)
